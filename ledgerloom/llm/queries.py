@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .jaccard_join import similar_components
 from .packing import pack
 from .quality_rules import BASE, judged, scored
 from .shared import settle
@@ -25,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(_docs(spark, sf_dir), n=3, num=90, den=100)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), WORD_END)
 
@@ -59,6 +64,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+SQL_2 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 2), ' ') AS x
+  FROM d, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS u(i) WHERE len(w) > 0
+),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS p, b.r AS q, count(*) AS c FROM s AS a JOIN s AS b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+links AS (
+  SELECT p, q FROM shared JOIN n AS a ON a.r = p JOIN n AS b ON b.r = q WHERE 100 * c >= 90 * (a.n + b.n - c)
+),
+reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, links.q FROM reach JOIN links ON links.p = reach.q)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (r)
+JOIN (SELECT reach.r, min(e.doc_id) AS component_id FROM reach JOIN d AS e ON e.r = reach.q GROUP BY reach.r) AS c USING (r)
+"""
+
 SQL_8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{ALNUM}') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{ALNUM}') AS w FROM benchmark),
@@ -109,10 +133,11 @@ FROM cut
 """
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_shards": op9_byte_shards,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE = {"op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
+ORACLE = {"op2_jaccard_join": SQL_2, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
