@@ -9,6 +9,7 @@ from .decontaminate import contamination
 from .jaccard_join import similar_components
 from .packing import pack
 from .quality_rules import BASE, judged, scored
+from .repeats import without_repeats
 from .shared import settle
 from .sharding import byte_shards
 from .tokens import token_table
@@ -30,6 +31,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_docs(spark, sf_dir), n=3, num=90, den=100)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_docs(spark, sf_dir), n=50).drop("kept")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), WORD_END)
 
@@ -83,6 +88,20 @@ FROM d LEFT JOIN n USING (r)
 JOIN (SELECT reach.r, min(e.doc_id) AS component_id FROM reach JOIN d AS e ON e.r = reach.q GROUP BY reach.r) AS c USING (r)
 """
 
+SQL_3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS x
+  FROM d, unnest(range(1, len(w) - 48)) AS u(i)
+),
+f AS (SELECT x, min(doc_id) AS least FROM s GROUP BY x),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM s JOIN f USING (x), unnest(range(i, i + 50)) AS u(p) WHERE least < doc_id GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(
+    list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
 SQL_8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{ALNUM}') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{ALNUM}') AS w FROM benchmark),
@@ -134,10 +153,11 @@ FROM cut
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_shards": op9_byte_shards,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE = {"op2_jaccard_join": SQL_2, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
+ORACLE = {"op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
