@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .jaccard_join import similar_components
+from .license_scan import NOTICES, PHRASES, license_matches
+from .near_lines import LAST, line_flags
 from .packing import pack
 from .quality_rules import BASE, judged, scored
+from .quality_knn import score_quality
 from .repeats import without_repeats
 from .shared import settle
 from .sharding import byte_shards
@@ -27,6 +30,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(_docs(spark, sf_dir))
+    base = F.sort_array(F.array_distinct(F.col("places.label")))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.get("places", F.lit(0))["start"].alias("first_word"), F.array_max(F.col("places.start")).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union(base, "found")), ",").alias("labels"),
+        F.col("best").alias("score"),
+    )
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_docs(spark, sf_dir), n=3, num=90, den=100)
 
@@ -43,6 +57,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), BYTE_END, 2048)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: its lines, and the numbers (from 0) of those that go."""
+    flags = line_flags(_docs(spark, sf_dir).select("doc_id", "text"))
+    gone = F.filter(F.transform("keep", lambda k, i: F.when(~k, i)), lambda i: i.isNotNull())
+    return flags.select(
+        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.size("keep").cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
+def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(part != 2)
+    out = score_quality(_docs(spark, sf_dir).select("doc_id", "text"), labels)
+    return out.select("doc_id", (part == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -69,6 +100,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _values(templates: dict[str, str]) -> str:
+    return ", ".join(f"('{t}', '{label}')" for t, label in templates.items())
+
+
+SQL_1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{ALNUM}') AS w FROM documents),
+phrase(p, label) AS (VALUES {_values(PHRASES)}),
+notice(p, label) AS (VALUES {_values(NOTICES)}),
+place AS (
+  SELECT r, label, i - 1 AS start FROM d, phrase, unnest(range(1, len(w) + 1)) AS u(i)
+  WHERE w[i] = string_split(p, ' ')[1] AND list_slice(w, i, i + len(string_split(p, ' ')) - 1) = string_split(p, ' ')
+),
+base AS (SELECT r, count(*) AS n, min(start) AS f, max(start) AS l, list(DISTINCT label) AS labels FROM place GROUP BY r),
+block AS (SELECT r, list_distinct(list_slice(w, b + 1, b + 128)) AS ws FROM d, unnest(range(0, len(w), 64)) AS u(b)),
+share AS (
+  SELECT r, label, len(list_intersect(list_distinct(string_split(p, ' ')), ws)) / len(list_distinct(string_split(p, ' '))) AS s
+  FROM block, notice
+),
+fuzzy AS (SELECT r, list(DISTINCT label) AS labels, max(s) AS s FROM share WHERE s >= 0.8 - 1e-12 GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l AS last_word,
+  array_to_string(list_sort(coalesce(base.labels, CAST([] AS VARCHAR[]))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, CAST([] AS VARCHAR[])), coalesce(fuzzy.labels, CAST([] AS VARCHAR[]))))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(s, 0.0) END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN fuzzy USING (r)
+"""
+
 SQL_2 = rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -152,12 +209,15 @@ FROM cut
 """
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality_votes": op7_quality_votes,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_shards": op9_byte_shards,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE = {"op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
+ORACLE = {"op1_license_scan": SQL_1, "op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
