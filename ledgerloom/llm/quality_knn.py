@@ -3,8 +3,8 @@
 Terms are pairs of neighbouring bytes, by class (letters as they are, one class for digits,
 one for non-ASCII letters), hashed to DIMS columns; weights are logarithmic counts times the
 inverse document frequency over all documents. The space is that of the leading singular
-vectors of a sample of labelled documents, of at most `sample` rows by hash of doc_id: that
-bound makes the broadcast vectors bounded as well. Each document takes part whole; its cosine
+vectors of a sample of labelled documents, of at most `sample` rows by hash of doc_id; one
+more column holds the share of words that repeat the word before them. The sample's bound makes the broadcast vectors bounded as well. Each document takes part whole; its cosine
 with every labelled vector is computed in blocks, and its `neighbours` nearest vote with their
 similarity as weight.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import _WHITE, buffer_of, pieces
+from .textcore import _WHITE, buffer_of, pieces, words_of
 
 DIMS = 2048
 _CLASS = np.zeros(256, np.uint32)
@@ -46,8 +46,18 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1500) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def repeats(texts: pa.Array) -> np.ndarray:
+    """The share of each text's words that equal the word before."""
+    w = words_of(texts)
+    doc = w.doc()
+    same = doc[1:][(w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])]
+    return np.bincount(same, minlength=len(texts)) / np.maximum(w.count(), 1)
+
+
+def _weighted(counts: np.ndarray, idf: np.ndarray, share: np.ndarray) -> np.ndarray:
     x = np.log1p(counts).astype(np.float32) * idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.append(x, 2 * share.astype(np.float32)[:, None], axis=1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -89,7 +99,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
-            x = _weighted(term_counts(b.column("text")), idf)
+            x = _weighted(term_counts(b.column("text")), idf, repeats(b.column("text")))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     # at most `sample` rows
@@ -113,7 +123,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
             counts = term_counts(texts)
             some = np.flatnonzero(counts.any(axis=1))
             if len(y) and len(some):
-                z = _weighted(counts[some], idf) @ space
+                z = _weighted(counts[some], idf, repeats(texts)[some]) @ space
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 k = min(neighbours, len(y))
                 for at in range(0, len(some), 500):
