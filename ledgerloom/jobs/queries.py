@@ -1,2 +1,397 @@
+"""Each operator bound to the given tables, and SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.fields import (
+    as_identifier, blank_status, cell_lines, config_fingerprint, content_hash, field_lookup, format_location, parse_amount, parse_response, stated_date,
+)
+from ..functions.fragments import fragment_text, image_regions, neighbour_context, pack_blocks
+from ..operators import batches as B
+from ..operators import checks as C
+from ..operators import ledgers as L
+from ..operators.extract import rule_extract
+from ..sources.files import accept_paths, text_blocks
+from ..sources.store import latest, verify
+from .voucher import voucher_job
+
 QUERIES, ORACLE = {}, {}
-def voucher_ledger_query(spark, d): ...
+_LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_ALL = ", ".join(_LINE)
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLE[name] = f, sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amount = F.col("l_extendedprice").cast("decimal(18,2)")
+    unit = F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd")
+    credit = F.when(F.col("l_returnflag") == "R", amount - 1).otherwise(amount)
+    return t(spark, sf_dir, "lineitem").select("*", F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("currency"), unit.alias("unit"), amount.alias("debit"), credit.alias("credit"))
+
+
+_E = """e AS (SELECT *, l_orderkey AS o_orderkey, l_linestatus AS currency, CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS unit,
+  CAST(l_extendedprice AS DECIMAL(18,2)) AS debit,
+  CAST(l_extendedprice AS DECIMAL(18,2)) - CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS credit FROM lineitem)"""
+_BAL = "bal AS (SELECT o_orderkey, currency, unit, sum(debit) AS debit, sum(credit) AS credit FROM e GROUP BY ALL)"
+_VOUCHER = f"""WITH {_E}, {_BAL},
+r AS (SELECT o_orderkey, 'unbalanced' AS reason FROM bal WHERE debit <> credit
+  UNION ALL SELECT o_orderkey, 'conflict in l_linestatus' FROM e GROUP BY 1 HAVING min(l_linestatus) <> max(l_linestatus)),
+rs AS (SELECT o_orderkey, string_agg(DISTINCT reason, ';' ORDER BY reason) AS reasons FROM r GROUP BY 1)"""
+
+
+@query("voucher_job", _VOUCHER + """
+SELECT o.o_orderkey, o_orderstatus, o_totalprice, l_linenumber, l_partkey, currency, unit, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit,
+  coalesce(reasons, '') AS reasons, CASE WHEN reasons IS NULL THEN 'normal' ELSE 'review' END AS route
+FROM orders o JOIN e ON o.o_orderkey = e.o_orderkey LEFT JOIN rs ON rs.o_orderkey = o.o_orderkey""")
+def voucher_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: JN1, AGG1, AGG2, AGG8 and FLT1 in one plan."""
+    heads = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    out = voucher_job(heads, entries(spark, sf_dir), "o_orderkey", ["l_linestatus"])
+    return out.select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "l_linenumber", "l_partkey", "currency", "unit", F.col("debit").cast("double").alias("debit"),
+        F.col("credit").cast("double").alias("credit"), F.array_join("reasons", ";").alias("reasons"), "route",
+    )
+
+
+@query("src1_list_sources", "SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'pdf') AND NOT starts_with(url, 'http://ththre.example.com/')")
+def _(spark, d):
+    return accept_paths(t(spark, d, "pages").select("page_id", "url"), "url", ("html", "pdf"), ("http://ththre.example.com",))
+
+
+@query("src2_read_blocks", "SELECT doc_id AS file_id, CAST(i - 1 AS INTEGER) AS block_no, 'para' AS kind, CAST(i AS INTEGER) AS para, string_split(text, chr(10))[i] AS text FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)")
+def _(spark, d):
+    return text_blocks(t(spark, d, "documents"), "doc_id")
+
+
+@query("snk3_verify_export", "SELECT 'rows' AS \"check\", true AS ok UNION ALL SELECT 'content', true UNION ALL SELECT 'rows', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') = 0 UNION ALL SELECT 'content', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') = 0")
+def _(spark, d):
+    o = t(spark, d, "orders")
+    return verify(o, o.repartition(7, "o_custkey")).unionByName(verify(o, o.where("o_orderstatus <> 'O'"))).select("check", "ok")
+
+
+@query("snk4_latest_export", "SELECT * FROM (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INTEGER) AS run_id FROM orders) AS x WHERE run_id = (SELECT max(CAST(year(o_orderdate) AS INTEGER)) FROM orders)")
+def _(spark, d):
+    return latest(t(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("run_id")))
+
+
+@query("prj1_default_fields", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, d):
+    return B.default_fields(t(spark, d, "orders"), "voucher", {"voucher": ["o_orderkey", "o_custkey", "o_totalprice"]})
+
+
+@query("prj2_template_fields", "SELECT p_partkey, p_name AS name, p_brand AS brand, CAST(NULL AS VARCHAR) AS gap_3, CAST(p_size AS VARCHAR) AS size FROM part")
+def _(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand")).alias("fields"))
+    return B.template_fields(p, ["name", "brand", None, "size"])
+
+
+@query("prj3_with_provenance", "SELECT l_orderkey, l_partkey, l_linenumber, concat('order ', l_orderkey) AS source_file, concat('line ', l_linenumber) AS source_position, l_linenumber AS item_no, CASE WHEN l_discount = 0 THEN 'no discount stated' END AS note FROM lineitem")
+def _(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount")
+    note = F.when(F.col("l_discount") == 0, "no discount stated")
+    return B.with_provenance(rows, F.format_string("order %d", "l_orderkey"), F.format_string("line %d", "l_linenumber"), F.col("l_linenumber"), note).drop("l_discount")
+
+
+def _reasoned(spark, d):
+    reasons = F.array_compact(F.array(F.when(F.col("l_returnflag") == "R", F.lit("returned")), F.when(F.col("l_discount") >= 0.09, F.lit("discount"))))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag", reasons.alias("reasons"))
+
+
+_R = "x AS (SELECT l_orderkey, l_partkey, l_linenumber, l_linestatus, CASE WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN 'returned;discount' WHEN l_returnflag = 'R' THEN 'returned' WHEN l_discount >= 0.09 THEN 'discount' ELSE '' END AS reasons FROM lineitem)"
+
+
+@query("flt1_split_review", f"WITH {_R} SELECT l_orderkey, l_partkey, l_linenumber, reasons FROM x WHERE reasons <> ''")
+def _(spark, d):
+    return C.split_review(_reasoned(spark, d))[1].select("l_orderkey", "l_partkey", "l_linenumber", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query("flt2_failed_file_rows", "SELECT user_id AS file_id, min(concat('failed at ', event_type, ' ', CAST(value AS VARCHAR))) AS reason, 'review' AS route, CAST(0 AS INTEGER) AS n_documents FROM events WHERE event_type = 'error' GROUP BY user_id")
+def _(spark, d):
+    cause = F.concat(F.lit("failed at "), "event_type", F.lit(" "), F.col("value").cast("string"))
+    return C.failed_file_rows(t(spark, d, "events"), "user_id", F.col("event_type") == "error", cause)
+
+
+@query("flt3_capacity_check", "SELECT doc_id AS row_id, 'text' AS field, length(text) AS size FROM documents WHERE length(text) > 5000")
+def _(spark, d):
+    return C.capacity_check(t(spark, d, "documents"), "doc_id", ["text", "n_chars"], max_chars=5000)
+
+
+@query("flt4_required_fields", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'unreadable quality' ELSE '' END AS reasons, CASE WHEN quality IS NULL THEN 'not stated: quality' ELSE '' END AS notes FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, d):
+    both = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left")
+    status = blank_status(F.when(F.col("toxic") == 1, "???").otherwise(F.col("quality").cast("string")))
+    out = C.required_fields(both, {"quality": status})
+    return out.select("doc_id", F.array_join("reasons", ";").alias("reasons"), F.array_join("notes", ";").alias("notes"))
+
+
+@query("jn1_voucher_ledger", "SELECT o_orderkey, o_custkey, o_orderdate, l_linenumber, l_partkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def _(spark, d):
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    return L.voucher_ledger(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), lines, "o_orderkey")
+
+
+@query("jn2_minutes_ledger", "SELECT o_orderkey, o_orderpriority, l_partkey, l_suppkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
+def _(spark, d):
+    todos = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
+    return L.minutes_ledger(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), todos, "o_orderkey")
+
+
+@query("jn3_attach_evidence", "SELECT o_orderkey, coalesce(n, 0) AS n_attachments, coalesce(a, '') AS attachments FROM orders LEFT JOIN (SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY event_type) AS a FROM events GROUP BY 1) ON user_id = o_orderkey")
+def _(spark, d):
+    own = t(spark, d, "events").select(F.col("user_id").alias("o_orderkey"), "event_type")
+    return L.attach_evidence(t(spark, d, "orders").select("o_orderkey"), own, "o_orderkey", "event_type")
+
+
+@query("jn4_location_exists", "SELECT l_orderkey AS doc_id, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)")
+def _(spark, d):
+    cited = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey")
+    return C.location_exists(cited, t(spark, d, "documents"), ["doc_id"])
+
+
+@query("jn5_pending_files", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return B.pending_files(t(spark, d, "documents").select("doc_id", "source"), t(spark, d, "labels"), ["doc_id"])
+
+
+@query("jn6_source_drift", """WITH a AS (SELECT doc_id, sha256(text) AS s FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS s FROM documents WHERE doc_id % 3 <> 0)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.s = b.s THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    saved = docs.where("doc_id % 5 <> 0").select("doc_id", content_hash(F.col("text")).alias("sha"))
+    now = docs.where("doc_id % 3 <> 0").select("doc_id", content_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha"))
+    return B.source_drift(saved, now, "doc_id", "sha")
+
+
+@query("jn7_replace_file_results", """WITH r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey, l_partkey, l_linenumber, 1 AS attempt FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM r)
+UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 2 FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM r) AND l_returnflag <> 'R'""")
+def _(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    files = rows.where("l_returnflag = 'R'").select("l_orderkey")
+    again = rows.where("l_returnflag <> 'R'").join(files.distinct(), "l_orderkey", "left_semi").withColumn("attempt", F.lit(2))
+    return B.replace_file_results(rows.withColumn("attempt", F.lit(1)), again, files, "l_orderkey").drop("l_returnflag")
+
+
+@query("jn8_retry_targets", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(spark, d):
+    review = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return B.retry_targets(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), review, "o_orderkey")
+
+
+@query("jn9_occupied_rows", "SELECT o_orderkey AS row_no FROM orders WHERE o_orderkey IN (SELECT p_partkey FROM part)")
+def _(spark, d):
+    return B.occupied_rows(t(spark, d, "orders").select(F.col("o_orderkey").alias("row_no")), t(spark, d, "part").select(F.col("p_partkey").alias("row_no")))
+
+
+@query("agg1_voucher_balance", f"WITH {_E}, {_BAL} SELECT o_orderkey, currency, unit, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, CAST(debit - credit AS DOUBLE) AS diff, debit = credit AS balanced FROM bal")
+def _(spark, d):
+    out = C.voucher_balance(entries(spark, d), ["o_orderkey", "currency", "unit"], "debit", "credit")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("debit", "credit", "diff")})
+
+
+@query("agg2_header_conflict", "SELECT l_orderkey, 'l_linestatus' AS field, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS \"values\" FROM lineitem GROUP BY 1 HAVING min(l_linestatus) <> max(l_linestatus) UNION ALL SELECT l_orderkey, 'l_returnflag', string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) FROM lineitem GROUP BY 1 HAVING min(l_returnflag) <> max(l_returnflag)")
+def _(spark, d):
+    return C.header_conflict(t(spark, d, "lineitem"), "l_orderkey", ["l_linestatus", "l_returnflag"])
+
+
+@query("agg3_invoice_ledger", f"SELECT o_orderkey, o_custkey, string_agg(concat(l_linenumber, ' part ', l_partkey, ' x ', CAST(l_quantity AS BIGINT)), chr(10) ORDER BY {_ALL}) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def _(spark, d):
+    items = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    line = F.format_string("%d part %d x %d", "l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint"))
+    return L.invoice_ledger(t(spark, d, "orders").select("o_orderkey", "o_custkey"), items, "o_orderkey", _LINE, line)
+
+
+@query("agg4_amount_relation", """WITH s AS (SELECT l_orderkey AS o_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS summed FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CAST(summed + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS DOUBLE) AS stated, CAST(summed AS DOUBLE) AS summed, o_orderstatus <> 'P' AS agrees FROM orders JOIN s USING (o_orderkey)""")
+def _(spark, d):
+    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    sums = items.groupBy("o_orderkey").agg(F.sum("amount").alias("s"))
+    heads = t(spark, d, "orders").join(sums, "o_orderkey").select("o_orderkey", (F.col("s") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("total"))
+    out = C.amount_relation(items, heads, "o_orderkey", "amount", "total")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("stated", "summed")})
+
+
+@query("agg5_contract_ledger", """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS total, coalesce(s, '') AS o_orderstatus_lines, coalesce(p, '') AS o_orderpriority_lines FROM customer LEFT JOIN (
+SELECT o_custkey, string_agg(o_orderstatus, chr(10) ORDER BY o_orderdate, o_orderkey) AS s, string_agg(CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END, chr(10) ORDER BY o_orderdate, o_orderkey) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def _(spark, d):
+    heads = t(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")).alias("total"))
+    parts = t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey").withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    return L.contract_ledger(heads, parts, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("agg6_batch_summary", f"WITH {_R} SELECT l_linestatus AS batch_id, count(*) FILTER (reasons = '') AS n_normal, count(*) FILTER (reasons <> '') AS n_review FROM x GROUP BY 1")
+def _(spark, d):
+    return B.batch_summary(C.routed(_reasoned(spark, d)).withColumnRenamed("l_linestatus", "batch_id"), "batch_id")
+
+
+@query("agg7_progress", "SELECT stage, count(*) AS n_files FROM (SELECT user_id, arg_max(event_type, ts) AS stage FROM events GROUP BY 1) GROUP BY 1")
+def _(spark, d):
+    return B.progress(B.latest_result(t(spark, d, "events"), "user_id", "ts", ["event_type"]).withColumnRenamed("event_type", "stage"), "stage")
+
+
+@query("agg8_collect_reasons", "SELECT l_orderkey, string_agg(DISTINCT r, ';' ORDER BY r) AS reasons FROM (SELECT l_orderkey, 'returned' AS r FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, 'discount' FROM lineitem WHERE l_discount >= 0.09) GROUP BY 1")
+def _(spark, d):
+    rows = _reasoned(spark, d).select("l_orderkey", F.explode("reasons").alias("reason"))
+    return C.collect_reasons(rows, "l_orderkey", "reason")
+
+
+@query("agg9_assemble_documents", "SELECT conv_id, role, count(*) AS n_candidates, max(a <> z) AS conflict FROM (SELECT conv_id, role, turn // 2 AS slot, min(length(text)) AS a, max(length(text)) AS z FROM conversations GROUP BY ALL) GROUP BY 1, 2")
+def _(spark, d):
+    rows = t(spark, d, "conversations").select("conv_id", "role", F.expr("turn div 2").alias("slot"), F.length("text").alias("value"))
+    return C.assemble_documents(rows, ["conv_id", "role"], "slot", "value")
+
+
+@query("win1_dedupe_content", "SELECT doc_id, first AS kept_as FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE doc_id <> first")
+def _(spark, d):
+    files = t(spark, d, "documents").select(content_hash(F.col("text")).alias("sha"), "doc_id")
+    return B.dedupe_content(files, "sha", "doc_id")[1].select("doc_id", "kept_as")
+
+
+@query("win2_number_items", f"SELECT l_orderkey, {_ALL}, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL}) AS INTEGER) AS item_no FROM lineitem")
+def _(spark, d):
+    return B.number_items(t(spark, d, "lineitem"), "l_orderkey", _LINE)
+
+
+@query("win3_neighbour_context", "SELECT conv_id, turn, text, right(lag(text) OVER w, 20) AS before, left(lead(text) OVER w, 20) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def _(spark, d):
+    return neighbour_context(t(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 20)
+
+
+@query("win4_latest_result", "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
+def _(spark, d):
+    return B.latest_result(t(spark, d, "events"), "user_id", "ts", ["event_id", "event_type"])
+
+
+@query("win5_row_positions", "SELECT o_orderkey, o_custkey, 4 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS row_no FROM orders")
+def _(spark, d):
+    return B.row_positions(t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], start=5)
+
+
+@query("srt1_source_order", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, {_ALL}")
+def _(spark, d):
+    return B.source_order(t(spark, d, "lineitem"), ["l_orderkey", *_LINE]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("set1_dedupe_paths", "SELECT DISTINCT regexp_replace(url, '\\?.*$', '') AS path FROM pages")
+def _(spark, d):
+    return B.dedupe_paths(t(spark, d, "pages").select(F.regexp_replace("url", r"\?.*$", "").alias("path")))
+
+
+@query("set2_full_batch_view", f"WITH {_R} SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN reasons <> '' THEN reasons END AS reasons, CASE WHEN reasons = '' THEN 'normal' ELSE 'review' END AS sheet FROM x")
+def _(spark, d):
+    rows = _reasoned(spark, d).select("l_orderkey", "l_partkey", "l_linenumber", "reasons")
+    normal, review = C.split_review(rows)
+    return B.full_batch_view(normal.drop("reasons"), review.withColumn("reasons", F.array_join("reasons", ";")))
+
+
+@query("set3_sources_unchanged", "SELECT doc_id, sha256(text) AS sha, 'before' AS side FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT doc_id, sha256(text || '!'), 'after' FROM documents WHERE doc_id % 50 = 0")
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    before = docs.select("doc_id", content_hash(F.col("text")).alias("sha"))
+    after = docs.select("doc_id", content_hash(F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha"))
+    return B.sources_unchanged(before, after)
+
+
+@query("fn1_parse_amount", "SELECT c_custkey, c_acctbal AS value, CASE WHEN c_nationkey % 2 = 0 THEN 'CNY' ELSE 'USD' END AS currency, CASE WHEN c_nationkey % 3 = 0 THEN '万元' ELSE '元' END AS unit FROM customer")
+def _(spark, d):
+    shown = F.concat(F.when(F.col("c_nationkey") % 2 == 0, "CNY ").otherwise("USD "), F.format_number("c_acctbal", 2), F.when(F.col("c_nationkey") % 3 == 0, " 万元").otherwise(" 元"))
+    out = t(spark, d, "customer").select("c_custkey", parse_amount(shown).alias("a"))
+    return out.select("c_custkey", F.col("a.value").cast("double").alias("value"), "a.currency", "a.unit")
+
+
+@query("fn2_as_identifier", "SELECT c_custkey, substr(c_name, 10) AS number FROM customer")
+def _(spark, d):
+    return t(spark, d, "customer").select("c_custkey", as_identifier(F.substring("c_name", 10, 20)).alias("number"))
+
+
+@query("fn3_blank_status", "SELECT doc_id, CASE WHEN n_chars < 100 THEN 'not_stated' WHEN lang = 'de' THEN 'unreadable' WHEN lang = 'fr' THEN 'not_applicable' ELSE 'stated' END AS status FROM documents")
+def _(spark, d):
+    value = F.when(F.col("n_chars") < 100, " ").when(F.col("lang") == "de", "???").when(F.col("lang") == "fr", "N/A").otherwise(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", blank_status(value).alias("status"))
+
+
+@query("fn4_stated_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date FROM orders")
+def _(spark, d):
+    shown = F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyy/MM/dd"))
+    shown = shown.when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "yyyy年M月d日")).otherwise("soon")
+    return t(spark, d, "orders").select("o_orderkey", stated_date(shown)["date"].cast("string").alias("date"))
+
+
+@query("fn5_content_hash", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("sha"))
+
+
+@query("fn6_fragment_text", "SELECT doc_id, CAST(s // 900 AS INTEGER) AS frag_no, CAST(s AS INTEGER) AS start, substr(text, s + 1, 1000) AS fragment FROM documents, unnest(range(0, greatest(length(text) - 100, 1), 900)) AS u(s)")
+def _(spark, d):
+    return fragment_text(t(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("fn7_pack_blocks", """WITH RECURSIVE b AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, turn, i, 0 AS frag, n AS used FROM b WHERE i = 1 UNION ALL
+SELECT b.conv_id, b.turn, b.i, CASE WHEN used + n <= 1500 OR used = 0 THEN frag ELSE frag + 1 END, CASE WHEN used + n <= 1500 OR used = 0 THEN used + n ELSE n END FROM f JOIN b ON b.conv_id = f.conv_id AND b.i = f.i + 1)
+SELECT conv_id, turn, CAST(frag AS INTEGER) AS frag_no FROM f""")
+def _(spark, d):
+    return pack_blocks(t(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 1500).drop("text")
+
+
+@query("fn8_cell_lines", f"SELECT l_orderkey, string_agg(concat(l_partkey, ': ', l_returnflag), chr(10) ORDER BY {_ALL}) AS cell FROM lineitem GROUP BY 1")
+def _(spark, d):
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(L.ordered(_LINE, []).alias("x"))
+    return rows.select("l_orderkey", cell_lines(F.col("x"), "%s: %s", ("l_partkey", "l_returnflag")).alias("cell"))
+
+
+@query("fn9_format_location", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN concat('page ', p_size) WHEN 1 THEN concat('paragraph ', p_size) WHEN 2 THEN concat('table row ', p_size, ' column ', p_size + 1) WHEN 3 THEN 'header' END AS position FROM part")
+def _(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "para", "cell", "header", "video"))), (F.col("p_size") % 5 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", format_location(kind, F.col("p_size"), F.col("p_size"), F.col("p_size"), F.col("p_size") + 1).alias("position"))
+
+
+@query("fn10_parse_response", """SELECT event_id, CASE WHEN event_id % 11 <> 0 AND k >= 10 THEN k END AS k, CASE WHEN event_id % 11 = 0 THEN 'unreadable answer' WHEN k < 10 THEN 'missing k' ELSE '' END AS reasons
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)""")
+def _(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    answer = F.when(F.col("event_id") % 11 == 0, F.lit('{"k": ')).when(k < 10, "{}").otherwise(F.col("props"))
+    out = t(spark, d, "events").select("event_id", parse_response(answer, "k INT", ("k",)).alias("r"))
+    return out.select("event_id", F.col("r.value.k").alias("k"), F.array_join("r.reasons", ";").alias("reasons"))
+
+
+@query("fn11_config_fingerprint", "SELECT n_nationkey, sha256('{\"model\":\"' || n_name || '\",\"region\":\"' || n_regionkey || '\"}') AS fingerprint FROM nation")
+def _(spark, d):
+    return t(spark, d, "nation").select("n_nationkey", config_fingerprint(region=F.col("n_regionkey"), model=F.col("n_name")).alias("fingerprint"))
+
+
+@query("fn12_field_lookup", "SELECT p_partkey, p_name AS name, CAST(NULL AS VARCHAR) AS weight FROM part")
+def _(spark, d):
+    fields = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
+    return t(spark, d, "part").select("p_partkey", *field_lookup(fields, ["name", "weight"]))
+
+
+@query("fn13_image_regions", """SELECT p_partkey, CAST(x AS INTEGER) AS x0, CAST(y AS INTEGER) AS y0, CAST(least(x + 800, w) AS INTEGER) AS x1, CAST(least(y + 800, h) AS INTEGER) AS y1
+FROM (SELECT p_partkey, p_size * 60 AS w, p_size * 85 AS h FROM part), unnest(range(0, greatest(w - 100, 1), 700)) AS u(x), unnest(range(0, greatest(h - 100, 1), 700)) AS v(y)""")
+def _(spark, d):
+    sized = t(spark, d, "part").select("p_partkey", (F.col("p_size") * 60).alias("w"), (F.col("p_size") * 85).alias("h"))
+    return image_regions(sized, "w", "h", 800, 100).drop("w", "h")
+
+
+@query("udf1_rule_extract", "SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', 0), '') AS mail, nullif(regexp_extract(text, '[0-9]{6,}', 0), '') AS number FROM documents")
+def _(spark, d):
+    return rule_extract(t(spark, d, "documents").select("doc_id", "text"), "text", {"mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+", "number": "[0-9]{6,}"}).drop("text")
+
+
+@query("udf3_classify_attempts", """SELECT user_id, tries, CASE WHEN last <> 'error' THEN 'done' WHEN tries < 15 THEN 'retry' ELSE 'give_up' END AS next_action
+FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS tries, arg_max(event_type, ts) AS last FROM events GROUP BY 1)""")
+def _(spark, d):
+    return B.classify_attempts(t(spark, d, "events"), "user_id", "ts", "event_type", "error", 15)
