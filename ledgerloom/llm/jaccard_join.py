@@ -20,6 +20,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,18 @@ def _class_of(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(RATIO) + 1e-9).astype(np.int64)
 
 
+@lru_cache
+def _spare(scheme: int, top: int, k: int) -> int:
+    """How many buckets of the scheme's smallest sets may be empty."""
+    least, spare = max(1.0, RATIO**scheme), 1
+    while (m := k + 1 + spare) < 40 * top:
+        empty = m * exp(-least / m)
+        if empty + 4 * sqrt(empty) + 1 <= spare:
+            break
+        spare += 1 + spare // 50
+    return spare
+
+
 def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(set number, key) of each bucket under which a set is listed, for similarity num/den."""
     size = np.diff(first)
@@ -75,7 +89,8 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         top = np.ceil(RATIO ** (scheme + 1) + 1).astype(np.int64)
         k = 2 * top * (den - num) // (den + num)
         use = use & (k > 0) & (size > 0)
-        m = np.where(use, k + 2, 0)
+        spare = np.array([_spare(int(s), int(t), int(x)) for s, t, x in zip(scheme, top, k, strict=True)], np.int64)
+        m = np.where(use, k + 1 + spare, 0)
         base = np.cumsum(m) - m
         mine = use[doc]
         d, x = doc[mine], h[mine]
@@ -88,16 +103,9 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         place = (slot[head] - base[of]).astype(np.uint64)
         out_doc.append(of)
         out_key.append(mix(total + mix((scheme[of].astype(np.uint64) << np.uint64(40)) + place + np.uint64(1))))
-        filled = np.zeros(int(m.sum()), bool)
-        filled[slot[head]] = True
-        empty = np.flatnonzero(~filled)
-        of = np.searchsorted(base + m, empty, "right")
-        for i in np.unique(of[:-1][of[1:] == of[:-1]]).tolist():
-            e = empty[of == i] - base[i]
-            a, b = np.triu_indices(len(e), 1)
-            pair = (e[a].astype(np.uint64) << np.uint64(20)) + e[b].astype(np.uint64)
-            out_doc.append(np.full(len(pair), i))
-            out_key.append(mix(mix((np.uint64(scheme[i]) << np.uint64(40)) + pair) + np.uint64(7)))
+        scarce = np.flatnonzero(use & (m - np.bincount(of, minlength=len(m)) > spare))
+        out_doc.append(scarce)
+        out_key.append(mix(scheme[scarce].astype(np.uint64) + np.uint64(1 << 60)))
     return np.concatenate(out_doc), np.concatenate(out_key).view(np.int64)
 
 
