@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_dir, read_array, write_array
-from .textcore import Words, mix, pieces, ranges, window_hash, words_of
+from .textcore import Words, pieces, ranges, sliding, window_hash, words_of
 
 BLOCK_BYTES = 16 << 20
 
@@ -31,13 +31,10 @@ def winnowed(h: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
     run that begins at i lies in one document."""
     if len(h) < width:
         return np.zeros(len(h), bool)
-    least = h[: len(h) - width + 1].copy()
-    for j in range(1, width):
-        np.minimum(least, h[j : len(h) - width + 1 + j], out=least)
+    least = sliding(h, width)
     least[~same[: len(least)]] = 0
-    most = np.zeros(len(h), np.uint64)
-    for j in range(width):
-        np.maximum(most[j : j + len(least)], least, out=most[j : j + len(least)])
+    pad = np.zeros(width - 1, np.uint64)
+    most = sliding(np.concatenate((pad, least, pad)), width, np.maximum)
     return (most == h) & (most > 0)
 
 

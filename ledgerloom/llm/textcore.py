@@ -159,3 +159,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return shift + np.arange(total)
+
+
+def sliding(h: np.ndarray, width: int, what=np.minimum) -> np.ndarray:
+    """what (minimum or maximum) of each width successive values, by doubling."""
+    out, span = h, 1
+    while 2 * span <= width:
+        out = what(out[:-span], out[span:])
+        span *= 2
+    rest = width - span
+    return what(out[:-rest], out[rest:]) if rest else out.copy()
