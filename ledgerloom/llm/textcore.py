@@ -133,7 +133,7 @@ def words_of(texts: pa.Array, kind: str = "space") -> Words:
     return Words(buf, start, end, segment_hash(buf, start, end), np.searchsorted(start, off))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about n_bytes each; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
