@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settle
-from .tokens import crc32, encoder, pieces, with_end
+from .tokens import SLICE, crc32, encoder, pieces, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer, True)
-        for b in pieces(batches):
+        for b in pieces(batches, n_bytes=SLICE):
             ids, count = with_end(*code.encode(b.column("text")), end_id)
             run = np.concatenate(([0], np.cumsum(count)))
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}

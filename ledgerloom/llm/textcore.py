@@ -9,6 +9,7 @@ windows) met in one comparison get the same hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for key, base in (("up", _BASE), ("down", _BASE_INV)):
             out = np.ones(size, np.uint64)
             out[1:] = np.uint64(base)
@@ -133,8 +134,16 @@ def words_of(texts: pa.Array, kind: str = "space") -> Words:
     return Words(buf, start, end, segment_hash(buf, start, end), np.searchsorted(start, off))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker stays, idle, beside stages of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about n_bytes each; a longer text stands alone."""
+    _give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -144,6 +153,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int
             to = max(at + 1, int(np.searchsorted(off, off[at] + n_bytes, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    _give_back()
 
 
 def join_texts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:

@@ -29,6 +29,7 @@ from .textcore import _WHITE, buffer_of, join_texts, pieces, ranges, segment_has
 _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 NULL_ID = np.iinfo(np.int64).min
 _KEEP_IDS = 6_000_000  # ids kept in one process for pieces met before
+SLICE = 2 << 20  # bytes of text encoded at once: what is known is sorted anew after each slice
 
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -196,7 +197,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, code = TaskContext.get().partitionId(), encoder(tokenizer, False)
         tokens, counts, ids = [], [], []
-        for b in pieces(batches):
+        for b in pieces(batches, n_bytes=SLICE):
             found, count = with_end(*code.encode(b.column("text")), end_id)
             tokens.append(found.astype(code.width))
             counts.append(count)
