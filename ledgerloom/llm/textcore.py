@@ -134,7 +134,7 @@ def words_of(texts: pa.Array, kind: str = "space") -> Words:
     return Words(buf, start, end, segment_hash(buf, start, end), np.searchsorted(start, off))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: a worker stays, idle, beside stages of other kinds."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -143,7 +143,7 @@ def _give_back() -> None:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about n_bytes each; a longer text stands alone."""
-    _give_back()
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -154,7 +154,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", n_bytes: int
             yield batch.slice(at, to - at)
             at = to
         del batch
-    _give_back()
+    give_back()
 
 
 def join_texts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
