@@ -25,6 +25,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> None:
+    """Lowers the session's bound on an Arrow batch to n_bytes, where it is higher: by default
+    a task passes the texts of its whole partition to Python as one batch, held several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) > n_bytes:
+        spark.conf.set(key, str(n_bytes))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: the lineage ends here."""
     path = fresh_dir(df.sparkSession, name)
