@@ -93,7 +93,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) ->
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = token_pieces(docs, tokenizer, end_id, capacity)
+    # written first: the range sort reads its rows twice, and would have them encoded twice
+    cut = settle(token_pieces(docs, tokenizer, end_id, capacity), "cut")
     order = [F.desc("length"), F.asc("doc_id"), F.asc("piece"), F.asc("ids_crc32")]
     ranged = cut.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
     ranged = settle(ranged, "pieces")
