@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import TaskContext
@@ -20,9 +22,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_WITHIN: list[str] = []  # folders of the steps now being built, the innermost last
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_WITHIN[-1] if _WITHIN else shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def folder_for(spark: SparkSession, name: str) -> Iterator[str]:
+    """Paths made meanwhile lie in one new folder, which can be removed as a whole."""
+    _WITHIN.append(fresh_dir(spark, name))
+    try:
+        yield _WITHIN[-1]
+    finally:
+        _WITHIN.pop()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that fresh_dir or folder_for made, by the store's own interface."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> None:
