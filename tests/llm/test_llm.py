@@ -238,7 +238,7 @@ def test_pipeline_stages(spark):
         out = P.settle(stage(spark, docs, str(DATA)), name)
         assert out.columns == docs.columns and 0 < out.count() <= seen
         docs, seen = out, out.count()
-    found = similar_components(docs, 5, 8, 10)
-    del found
+    left = dict(P._LEFT)
     last = P.STAGES[-1][1](spark, docs, str(DATA))
     assert last.select("doc_id").distinct().count() == seen
+    assert not any(Path(x.removeprefix("file://")).exists() for x in left.values())
