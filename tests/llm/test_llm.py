@@ -271,3 +271,17 @@ def test_near_lines_by_plain_shingles(spark):
     assert len(links) > 20 and len(missed) <= 0.03 * len(links)
     apart = [(1, "And with."), (2, "Is with."), (3, "Zu. Für."), (4, "Für."), (5, "1 2 3 4 5 6 7"), (6, "7 6 5 4 3 2 1")]
     assert all(r.keep[0] for r in line_flags(spark.createDataFrame(apart, "doc_id long, text string")).collect())
+
+
+def test_near_lines_in_crowded_bands(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(2):
+        template = " ".join(word(6) for _ in range(12))
+        for _ in range(150):
+            own = f"{template} {word(60)}"
+            lines += [own + word(6), own + word(6)]
+    assert len(shingle_links(lines)) >= 300
+    missed, links = line_links_missed(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert len(missed) <= 0.01 * len(links)
