@@ -285,3 +285,17 @@ def test_near_lines_in_crowded_bands(spark):
     assert len(shingle_links(lines)) >= 300
     missed, links = line_links_missed(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
     assert len(missed) <= 0.01 * len(links)
+
+
+def test_perplexity_band_rejects_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r, low = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    prose = [x.text for x in docs.where("lang = 'en'").orderBy("doc_id").collect() if len(x.text.split()) >= 60][:10]
+    junk = [" ".join("".join(r.choice(low) for _ in range(r.randint(2, 9))) for _ in range(120)) for _ in range(10)]
+    junk += [" ".join("".join(chr(r.randint(33, 126)) for _ in range(6)) for _ in range(120)) for _ in range(10)]
+    junk += ["".join(r.sample(x, len(x))) for x in prose]
+    rows = spark.createDataFrame([(-1 - i, x, "en") for i, x in enumerate(junk)], docs.schema)
+    out = judged(scored(docs.union(rows)).drop("text").localCheckpoint()).where("NOT base_failed").select("doc_id", "kept").collect()
+    assert not [x for x in out if x.doc_id < 0 and x.kept]
+    clean = [x.kept for x in out if x.doc_id >= 0]
+    assert sum(clean) >= 0.97 * len(clean)
