@@ -59,11 +59,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines, and the numbers (from 0) of those that go."""
-    flags = line_flags(_docs(spark, sf_dir).select("doc_id", "text"))
-    gone = F.filter(F.transform("keep", lambda k, i: F.when(~k, i)), lambda i: i.isNotNull())
-    return flags.select(
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.size("keep").cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"),
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    own = docs.select(
+        "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("copy"),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+    )
+    return own.join(line_flags(docs), ["id", "copy"], "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
     )
 
 
