@@ -1,18 +1,20 @@
-"""Best-fit packing of token sequences (operator 5).
-
-Bulk-synchronous best fit, longest first. Pieces are range-sorted by falling length and get
-their rank within their length from partition totals. One superstep takes all pieces of one
-length: it finds the successor of that length among the sorted gaps (the smallest gap that
-holds it), gives the gaps of that size to pieces by rank, updates those gaps and repeats
-with the ranks that are left, until it opens new sequences for the rest. Equal gaps with
-neighbouring sequence numbers are kept as one run, so a superstep costs a few steps whatever
-the number of pieces; runs are bounded by the capacity and not by the data. The result is
-that of sequential best-fit decreasing. Pieces then find their run by length and rank.
+"""Best-fit packing of token sequences (operator 5), in bulk-synchronous rounds.
+
+Pieces go by falling length, in classes of one octave each. A round takes all pieces of the class
+and all gaps (the free ends of open sequences; a gap that holds several pieces of the class is
+so many slots), range-sorts them into one list by size, and matches them by a successor sweep:
+each slot, the smallest first, takes the largest piece before it that no smaller slot has taken.
+In the list, with a step up at each piece and down at each slot, these are brackets: a piece and
+its slot have the same height, and stand next to one another among all of that height. Heights
+are prefix sums over the partitions, so conflicts are resolved by rank without a sequential
+pass, and a height holds at most two items for each size, whatever the number of pieces. Gaps are
+updated, and rounds repeat until no piece of the class finds a slot; then new sequences are
+opened, never more than the tokens that are left need at least, or one for each piece of more
+than half a sequence.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, small_batches
 from .tokens import SLICE, crc32, encoder, pieces, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,6 +32,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     """Cuts each document's ids (with the end id) into pieces of capacity ids; the first
     may be shorter. Null texts count as empty. Other columns are left out."""
 
+    small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer, True)
         for b in pieces(batches, n_bytes=SLICE):
@@ -43,45 +47,67 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                     for k, v in zip(out, (doc, i, at, to - at, crc32(ids[lo + at : lo + to])), strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()})
+        code.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, first sequence, pieces a sequence, offset)."""
-    runs, gaps, of, opened = [], [], {}, 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if n and gap:
-            if gap not in of:
-                insort(gaps, gap)
-                of[gap] = []
-            of[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                n = -(-left // (capacity // length))
-                add(capacity, opened, n)
-                opened += n
-                at = len(gaps) - 1
-            gap = gaps[at]
-            first, n = of[gap].pop()
-            if not of[gap]:
-                del of[gap]
-                gaps.pop(at)
-            each = gap // length
-            taken = min(left, each * n)
-            runs.append((length, rank, taken, first, each, capacity - gap))
-            full, rest = divmod(taken, each)
-            add(gap - each * length, first, full)
-            if rest:
-                add(gap - rest * length, first + full, 1)
-            add(gap, first + full + bool(rest), n - full - bool(rest))
-            rank, left = rank + taken, left - taken
-    return runs
+def _matched(some: DataFrame, slots: DataFrame, n: int) -> DataFrame:
+    """(rank, length, seq) of the pieces (rank, length) that slots (seq, slot, size) take."""
+    items = some.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("rank").alias("id"), F.lit(0).alias("slot"))
+    items = items.unionByName(slots.select("size", F.lit(1).alias("kind"), F.col("seq").alias("id"), F.col("slot").cast("int").alias("slot")))
+    order = ["size", "kind", "id", "slot"]
+    # written, so that what a partition holds stays the same when a task runs again
+    items = settle(items.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "items")
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = items.groupBy("part").agg(F.sum(step).alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each partition
+    run = items.join(F.broadcast(bases), "part").withColumn("height", F.col("base") + F.sum(step).over(within) + F.col("kind"))
+    level = Window.partitionBy("height").orderBy(*order)
+    last = run.withColumn("last", F.lag(F.struct("kind", "id", "size")).over(level)).where("kind = 1 and last.kind = 0")
+    return last.select(F.col("last.id").alias("rank"), F.col("last.size").alias("length"), F.col("id").alias("seq"))
+
+
+def best_fit(left: DataFrame, capacity: int) -> DataFrame:
+    """(rank, sequence_id, offset) of each of left (rank, length): rank tells pieces apart, no
+    length is more than capacity. The driver sees a few sums for each round."""
+    spark = left.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gaps, opened, placed = spark.createDataFrame([], "seq long, gap long"), 0, []
+    while True:
+        most, tokens = left.agg(F.max("length"), F.sum("length")).first()
+        if most is None:
+            break
+        low = most // 2
+        own, left = left.where(F.col("length") > low), settle(left.where(F.col("length") <= low), "left")
+        while True:
+            count, sum_, long = own.agg(F.count("*"), F.sum("length"), F.count_if(F.col("length") > capacity // 2)).first()
+            if not count:
+                break
+            each = F.greatest(F.floor(F.col("gap") / most), F.lit(1))
+            slots = gaps.where(F.col("gap") > low).select("seq", F.floor(F.col("gap") / each).alias("size"), F.explode(F.sequence(F.lit(0), each.cast("int") - 1)).alias("slot"))
+            found = _matched(own, slots, n).join(gaps, "seq")
+            before = Window.partitionBy("seq").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+            offset = capacity - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))
+            found = settle(found.select("rank", "length", F.col("seq").alias("sequence_id"), offset.alias("offset")), "placed")
+            used = found.groupBy(F.col("sequence_id").alias("seq")).agg(F.sum("length").alias("used"))
+            if filled := found.agg(F.sum("length")).first()[0]:
+                placed.append(found)
+                tokens -= filled
+                own = settle(own.join(found.select("rank"), "rank", "left_anti"), "left")
+                gaps = settle(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
+                continue
+            free = gaps.agg(F.sum("gap")).first()[0] or 0
+            need = max(-(-sum_ // capacity), -(-(tokens - free) // capacity))
+            new = max(long, min(need, -(-count // (capacity // most))))
+            more = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            gaps, opened = gaps.unionByName(more), opened + new
+    every = spark.createDataFrame([], "rank long, length long, sequence_id long, offset long")
+    for table in placed:
+        every = every.unionByName(table)
+    return every.drop("length")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
@@ -89,28 +115,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) ->
     doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Rows with the same doc_id are packed each for itself; null ids and texts are kept (a null
-    text is the end id alone); an empty table gives no rows.
+    text is the end id alone); other columns, whatever their names, are left out; texts are
+    taken whole, however long; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # written first: the range sort reads its rows twice, and would have them encoded twice
-    cut = settle(token_pieces(docs, tokenizer, end_id, capacity), "cut")
-    order = [F.desc("length"), F.asc("doc_id"), F.asc("piece"), F.asc("ids_crc32")]
-    ranged = cut.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
-    ranged = settle(ranged, "pieces")
-    totals = settle(ranged.groupBy("part", "length").agg(F.count("*").alias("n")), "totals")
-    # at most capacity rows
-    counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(fit(counts, capacity), "length long, first_rank long, n long, first_seq long, each long, at long")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = ranged.withColumn("rn", F.row_number().over(within)).join(bases, ["part", "length"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("rn") - 1)
-    # runs are few: bounded by the capacity
-    hit = ranked.join(F.broadcast(plan), "length").where("rank >= first_rank and rank < first_rank + n")
-    return hit.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        F.expr("first_seq + (rank - first_rank) div each").alias("sequence_id"),
-        F.expr("at + (rank - first_rank) % each * length").alias("offset"),
-    )
+    # written first, so that each piece keeps its number and texts are encoded once
+    cut = settle(token_pieces(docs, tokenizer, end_id, capacity).withColumn("rank", F.monotonically_increasing_id()), "cut")
+    places = best_fit(cut.select("rank", "length"), capacity)
+    return cut.join(places, "rank").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

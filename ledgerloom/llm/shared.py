@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests)."""
+    """spark.checkpoint.dir of the session. Only where none is set and driver and executors are one
+    process (tests) a temporary folder takes its place; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -61,6 +66,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
+    """df, written down, and marked for a broadcast if it has no more than so many rows: of a
+    table with a few rows a language, say, whose number of languages isn't known beforehand."""
+    df = settle(df, name)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _local(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
@@ -73,25 +85,29 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_array(uri: str, *parts: np.ndarray) -> None:
-    """Writes arrays one after another as one file; readers see the whole file or none."""
+@contextmanager
+def array_file(uri: str) -> Iterator[Callable[[np.ndarray], None]]:
+    """Writes one array after another to a file; readers see the whole file or none."""
     task = TaskContext.get()
     temp = f"{uri}.{task.taskAttemptId() if task else 0}.tmp"
     if (path := _local(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(_local(temp), "wb") as f:
-            for x in parts:
-                f.write(memoryview(np.ascontiguousarray(x)).cast("B") if x.size else b"")
+            yield lambda x: f.write(memoryview(np.ascontiguousarray(x)).cast("B") if x.size else b"")
         os.replace(_local(temp), path)
         return
     store, path = _store(temp)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(path) as f:
-        for x in parts:
-            f.write(np.ascontiguousarray(x).tobytes())
+        yield lambda x: f.write(np.ascontiguousarray(x).tobytes())
     store.move(path, _store(uri)[1])
 
 
+def write_array(uri: str, x: np.ndarray) -> None:
+    with array_file(uri) as write:
+        write(x)
+
+
 def read_array(uri: str, dtype) -> np.ndarray:
     """The file as an array; memory-mapped where the path is a local one."""
     if (path := _local(uri)) is not None:

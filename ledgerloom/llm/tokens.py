@@ -2,8 +2,10 @@
 
 Encoding: a text is cut where its tokenizer's own pre-tokenizer always cuts (at ASCII white
 space), each distinct piece is encoded once by the tokenizers library and the ids are put
-together by array look-ups. The ids equal those of encoding the whole text. A text that
-holds other Unicode white space is encoded whole.
+together by array look-ups. The ids equal those of encoding the whole text with
+add_special_tokens=False, in which the string of a special token is that token. A text that holds
+such a string or other Unicode white space is encoded whole, and so is every text where the
+tokenizer's rules are others than those that the cuts rely on.
 
 Format: tokens-NNNNN.bin holds the ids of one range of documents, flat, little-endian,
 unsigned, of the narrowest fitting width; offsets-NNNNN.bin holds for each of its documents
@@ -13,8 +15,11 @@ docs-NNNNN.bin holds their ids (64-bit signed; a null id is the smallest such nu
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from itertools import chain
 
 import numpy as np
@@ -23,15 +28,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, read_array, write_array
-from .textcore import _WHITE, buffer_of, join_texts, pieces, ranges, segment_hash
+from .shared import array_file, fresh_dir, read_array, small_batches, write_array
+from .textcore import _WHITE, buffer_of, give_back, join_texts, pieces, ranges, segment_hash
 
 _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 NULL_ID = np.iinfo(np.int64).min
-_KEEP_IDS = 6_000_000  # ids kept in one process for pieces met before
+_KEEP_IDS = 6_000_000  # ids kept in one task for pieces met before
+_STAY_IDS = 1_000_000  # ids kept between tasks
+FILE_BYTES = 128 << 20
 SLICE = 2 << 20  # bytes of text encoded at once: what is known is sorted anew after each slice
 
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
+#: Kinds of normaliser and pre-tokenizer, by whether white space is kept.
+_RULES = {
+    False: (["NFC", "Replace \\s+", "Lowercase"], ["Split Removed 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "ByteLevel False False"]),
+    True: ([], ["ByteLevel False True"]),
+}
+
+
+def _rules(part: dict | None) -> list[str]:
+    """A tokenizer's steps of one kind, in words."""
+    steps = [] if part is None else part.get("normalizers") or part.get("pretokenizers") or [part]
+    more = lambda x: [x.get("behavior"), (x.get("pattern") or {}).get("Regex"), x.get("add_prefix_space"), x.get("use_regex")]
+    return [" ".join(str(y) for y in (x["type"], *more(x)) if y is not None) for x in steps]
 
 
 def encoder(path: str, keeps_space: bool) -> "Encoder":
@@ -52,7 +71,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        rules = json.loads(self.tokenizer.to_str())
+        self.known_rules = (_rules(rules["normalizer"]), _rules(rules["pre_tokenizer"])) == _RULES[keeps_space]
+        added = [re.escape(x.content.encode()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
@@ -62,6 +84,12 @@ class Encoder:
         self.known = np.zeros(0, np.uint64)
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.width)
 
+    def trim(self) -> None:
+        """After a task: a worker stays, idle, beside stages of other kinds."""
+        if len(self.ids) > _STAY_IDS:
+            self._forget()
+        give_back()
+
     def _fresh(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and the number of each.
 
@@ -115,11 +143,22 @@ class Encoder:
         start = np.flatnonzero(head)
         return start, np.append(start[1:], len(buf)) if len(start) else start
 
+    def _whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts (not empty ones) that are encoded whole."""
+        if not self.known_rules:
+            return np.flatnonzero(np.diff(off))
+        odd = odd_space(buf, off)
+        if self.added:
+            at = [m.start() for m in self.added.finditer(buf.tobytes())]
+            odd += (np.searchsorted(off, at, "right") - 1).tolist()
+        return np.unique(np.array(odd, np.int64))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each text."""
         buf, off = buffer_of(texts)
         start, end = self._cuts(buf, off)
-        if odd := odd_space(buf, off):
+        odd = self._whole(buf, off)
+        if len(odd):
             first = np.searchsorted(start, off)
             whole = np.zeros(len(start), bool)
             for i in odd:
@@ -185,32 +224,39 @@ def _file(folder: str, kind: str, part: int) -> str:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, n_files: int | None = None) -> int:
     """Writes docs (doc_id, text, more columns are left out) in ascending doc_id order; the
     number of all ids. Null texts count as empty, and give the end id alone; a null doc_id
-    comes first; rows of one doc_id are ordered by text. An empty table makes no ids.
+    comes first; rows of one doc_id are ordered by a hash of the text, then by text. An empty
+    table makes no ids. A text is encoded whole, however long.
 
-    Documents are range-partitioned by doc_id, a file each. The driver sees two numbers a
-    file: their prefix sums are the bases of the offsets. A task that runs again writes the
-    same file again under its own temporary name.
+    Documents are range-partitioned by doc_id and that hash, a file each, of FILE_BYTES of text
+    in the mean at most; ids are written as they are made. The driver sees two numbers a file:
+    their prefix sums are the bases of the offsets. A task that runs again writes the same file
+    again under its own temporary name.
     """
     spark = docs.sparkSession
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    if n_files is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, code = TaskContext.get().partitionId(), encoder(tokenizer, False)
-        tokens, counts, ids = [], [], []
-        for b in pieces(batches, n_bytes=SLICE):
-            found, count = with_end(*code.encode(b.column("text")), end_id)
-            tokens.append(found.astype(code.width))
-            counts.append(count)
-            ids.append(b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-        if tokens:
-            write_array(_file(folder, "tokens", part), *tokens)
-            write_array(_file(folder, "docs", part), *ids)
-            run = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype("<u8")
-            write_array(_file(folder, "local", part), run)
-            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(run) - 1], "n_tokens": [int(run[-1])]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
+        with ExitStack() as files:
+            out, n_docs, n_tokens = {}, 0, 0
+            for b in pieces(batches, n_bytes=SLICE):
+                if not out:
+                    out = {kind: files.enter_context(array_file(_file(folder, kind, part))) for kind in ("tokens", "docs", "local")}
+                    out["local"](np.zeros(1, "<u8"))
+                found, count = with_end(*code.encode(b.column("text")), end_id)
+                out["tokens"](found.astype(code.width))
+                out["docs"](b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                out["local"]((n_tokens + np.cumsum(count)).astype("<u8"))
+                n_docs, n_tokens = n_docs + len(count), n_tokens + len(found)
+        code.trim()
+        if n_docs:
+            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+
+    ranged = rows.repartitionByRange(n_files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     totals = sorted(ranged.mapInArrow(write, "part long, n_docs long, n_tokens long").collect())
     bases = np.concatenate(([0], np.cumsum([r.n_tokens for r in totals], dtype=np.int64)))
     if not totals:
