@@ -65,11 +65,15 @@ def format_location(kind: Column, page: Column, para: Column, row: Column, col:
 
 def parse_response(answer: Column, schema: str, required: tuple[str, ...]) -> Column:
     """STRUCT<value, reasons>: the answer by schema (DDL); what is broken or missing as reasons."""
-    value = F.from_json(answer, schema + ", _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    broken = answer.isNull() | value.isNull() | value["_broken"].isNotNull()
-    missing = [F.when(~broken & value[f].isNull(), F.lit(f"missing {f}")) for f in required]
-    reasons = F.array_compact(F.array(F.when(broken, F.lit("unreadable answer")), *missing))
-    return F.struct(value.alias("value"), reasons.alias("reasons"))
+    def judged(value: Column) -> Column:
+        broken = answer.isNull() | value.isNull() | value["_broken"].isNotNull()
+        missing = [F.when(~broken & value[f].isNull(), F.lit(f"missing {f}")) for f in required]
+        reasons = F.array_compact(F.array(F.when(broken, F.lit("unreadable answer")), *missing))
+        return F.struct(value.alias("value"), reasons.alias("reasons"))
+
+    # as an element of an array the answer is parsed once, however often it is read
+    parsed = F.from_json(answer, schema + ", _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return F.get(F.transform(F.array(parsed), judged), F.lit(0))
 
 
 def config_fingerprint(**conditions: Column) -> Column:

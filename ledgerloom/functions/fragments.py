@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +16,37 @@ def fragment_text(df: DataFrame, text: str = "text", size: int = 1000, overlap:
     piece. Everything happens within a row, without a shuffle."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
-    n = F.length(F.coalesce(F.col(text), F.lit("")))
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap, F.lit(1)) - 1, F.lit(size - overlap))
-    cut = df.select("*", F.posexplode(starts).alias("frag_no", "start"))
-    return cut.withColumn("fragment", F.substring(F.coalesce(F.col(text), F.lit("")), F.col("start") + 1, F.lit(size)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(whole) - overlap, F.lit(1)) - 1, F.lit(size - overlap))
+    # cut before the rows are made, so that a row needn't carry the whole text
+    parts = F.transform(starts, lambda s, i: F.struct(i.alias("frag_no"), s.alias("start"), F.substring(whole, s + 1, F.lit(size)).alias("fragment")))
+    return df.select("*", F.inline(parts))
 
 
 def pack_blocks(df: DataFrame, file: str, block_no: str, text: str, size: int) -> DataFrame:
     """df with frag_no: blocks in order fill a fragment until the next one would exceed size;
     a block longer than size has a fragment of its own. A file's lengths (not its texts) are
-    folded in one array."""
-    lengths = df.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(block_no).alias("no"), F.length(text).alias("n")))).alias("b"))
-    zero = F.struct(F.lit(0).alias("frag"), F.lit(0).alias("used"), F.array().cast("array<struct<no:bigint,frag:int>>").alias("out"))
-
-    def step(a, x):
-        fits = (a["used"] + x["n"] <= size) | (a["used"] == 0)
-        frag = F.when(fits, a["frag"]).otherwise(a["frag"] + 1)
-        item = F.array(F.struct(x["no"].cast("bigint").alias("no"), frag.alias("frag")))
-        return F.struct(frag.alias("frag"), F.when(fits, a["used"] + x["n"]).otherwise(x["n"]).alias("used"), F.concat(a["out"], item).alias("out"))
-
-    placed = lengths.select(file, F.explode(F.aggregate("b", zero, step, lambda a: a["out"])).alias("p"))
-    placed = placed.select(file, F.col("p.no").cast(dict(df.dtypes)[block_no]).alias(block_no), F.col("p.frag").alias("frag_no"))
-    return df.join(placed, [file, block_no])
+    read one after another in block order; a task holds one batch of them, however long a
+    file is."""
+    kinds = dict(df.dtypes)
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, frag, used = object(), 0, 0
+        for b in batches:
+            out = np.empty(len(b), np.int32)
+            for i, (own, n) in enumerate(zip(b["f"].tolist(), b["n"].tolist(), strict=True)):
+                if own != at and not (pd.isna(own) and pd.isna(at)):
+                    at, frag, used = own, 0, 0
+                elif used and used + n > size:
+                    frag, used = frag + 1, 0
+                used += n
+                out[i] = frag
+            yield pd.DataFrame({"f": b["f"], "b": b["b"], "frag_no": out})
+
+    lengths = df.select(F.col(file).alias("f"), F.col(block_no).alias("b"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
+    placed = lengths.repartition("f").sortWithinPartitions("f", "b").mapInPandas(fill, f"f {kinds[file]}, b {kinds[block_no]}, frag_no int")
+    same = F.col("f").eqNullSafe(df[file]) & F.col("b").eqNullSafe(df[block_no])
+    return df.join(placed, same).drop("f", "b")
 
 
 def neighbour_context(df: DataFrame, file: str, order: str, text: str, n: int) -> DataFrame:

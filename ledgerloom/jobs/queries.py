@@ -13,8 +13,10 @@ from ..operators import batches as B
 from ..operators import checks as C
 from ..operators import ledgers as L
 from ..operators.extract import rule_extract
-from ..sources.files import accept_paths, text_blocks
-from ..sources.store import latest, verify
+from ..sources.files import accept_paths, read_blocks, text_blocks
+from ..sources.store import latest, latest_export, replace_results, save_results, saved_results, scratch, verify, write_ledger
+from ..streaming.resume import resume_stream
+from .ledgers import contract_job, invoice_job, minutes_job
 from .voucher import voucher_job
 
 QUERIES, ORACLE = {}, {}
@@ -52,9 +54,10 @@ rs AS (SELECT o_orderkey, string_agg(DISTINCT reason, ';' ORDER BY reason) AS re
 
 
 @query("voucher_job", _VOUCHER + """
-SELECT o.o_orderkey, o_orderstatus, o_totalprice, l_linenumber, l_partkey, currency, unit, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit,
-  coalesce(reasons, '') AS reasons, CASE WHEN reasons IS NULL THEN 'normal' ELSE 'review' END AS route
-FROM orders o JOIN e ON o.o_orderkey = e.o_orderkey LEFT JOIN rs ON rs.o_orderkey = o.o_orderkey""")
+SELECT e.o_orderkey, o_orderstatus, o_totalprice, l_linenumber, l_partkey, currency, unit, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit,
+  concat_ws(';', CASE WHEN o.o_orderkey IS NULL THEN 'no header' END, reasons) AS reasons,
+  CASE WHEN reasons IS NULL AND o.o_orderkey IS NOT NULL THEN 'normal' ELSE 'review' END AS route
+FROM e LEFT JOIN orders o ON o.o_orderkey = e.o_orderkey LEFT JOIN rs ON rs.o_orderkey = e.o_orderkey""")
 def voucher_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: JN1, AGG1, AGG2, AGG8 and FLT1 in one plan."""
     heads = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -86,9 +89,10 @@ def _(spark, d):
     return latest(t(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("run_id")))
 
 
-@query("prj1_default_fields", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+@query("prj1_default_fields", "SELECT o_orderkey AS contract_no, CAST(NULL AS VARCHAR) AS name, o_custkey AS party_a, CAST(NULL AS VARCHAR) AS party_b, o_totalprice AS total, CAST(NULL AS VARCHAR) AS condition_lines, CAST(NULL AS VARCHAR) AS share_lines, CAST(NULL AS VARCHAR) AS due_lines FROM orders")
 def _(spark, d):
-    return B.default_fields(t(spark, d, "orders"), "voucher", {"voucher": ["o_orderkey", "o_custkey", "o_totalprice"]})
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("contract_no"), F.col("o_custkey").alias("party_a"), F.col("o_totalprice").alias("total"), "o_orderstatus")
+    return B.default_fields(rows, "contract")
 
 
 @query("prj2_template_fields", "SELECT p_partkey, p_name AS name, p_brand AS brand, CAST(NULL AS VARCHAR) AS gap_3, CAST(p_size AS VARCHAR) AS size FROM part")
@@ -136,7 +140,7 @@ def _(spark, d):
     return out.select("doc_id", F.array_join("reasons", ";").alias("reasons"), F.array_join("notes", ";").alias("notes"))
 
 
-@query("jn1_voucher_ledger", "SELECT o_orderkey, o_custkey, o_orderdate, l_linenumber, l_partkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+@query("jn1_voucher_ledger", "SELECT l_orderkey AS o_orderkey, o_custkey, o_orderdate, l_linenumber, l_partkey, l_suppkey, o_orderkey IS NOT NULL AS header_found FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")
 def _(spark, d):
     lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
     return L.voucher_ledger(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), lines, "o_orderkey")
@@ -154,10 +158,11 @@ def _(spark, d):
     return L.attach_evidence(t(spark, d, "orders").select("o_orderkey"), own, "o_orderkey", "event_type")
 
 
-@query("jn4_location_exists", "SELECT l_orderkey AS doc_id, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)")
+@query("jn4_location_exists", "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS block_no, l_partkey, 'position not in the source' AS reason FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = l_orderkey AND l_linenumber < len(string_split(text, chr(10))))")
 def _(spark, d):
-    cited = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey")
-    return C.location_exists(cited, t(spark, d, "documents"), ["doc_id"])
+    cited = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("block_no"), "l_partkey")
+    blocks = text_blocks(t(spark, d, "documents"), "doc_id").withColumnRenamed("file_id", "doc_id")
+    return C.location_exists(cited, blocks, ["doc_id", "block_no"])
 
 
 @query("jn5_pending_files", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -165,12 +170,12 @@ def _(spark, d):
     return B.pending_files(t(spark, d, "documents").select("doc_id", "source"), t(spark, d, "labels"), ["doc_id"])
 
 
-@query("jn6_source_drift", """WITH a AS (SELECT doc_id, sha256(text) AS s FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS s FROM documents WHERE doc_id % 3 <> 0)
+@query("jn6_source_drift", """WITH a AS (SELECT doc_id, sha256(lang) AS s FROM documents), b AS (SELECT item_id AS doc_id, sha256(CASE WHEN length(text) % 2 = 0 THEN 'en' ELSE 'de' END) AS s FROM benchmark)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.s = b.s THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def _(spark, d):
-    docs = t(spark, d, "documents")
-    saved = docs.where("doc_id % 5 <> 0").select("doc_id", content_hash(F.col("text")).alias("sha"))
-    now = docs.where("doc_id % 3 <> 0").select("doc_id", content_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha"))
+    saved = t(spark, d, "documents").select("doc_id", content_hash(F.col("lang")).alias("sha"))
+    shown = F.when(F.length("text") % 2 == 0, "en").otherwise("de")
+    now = t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), content_hash(shown).alias("sha"))
     return B.source_drift(saved, now, "doc_id", "sha")
 
 
@@ -206,21 +211,63 @@ def _(spark, d):
     return C.header_conflict(t(spark, d, "lineitem"), "l_orderkey", ["l_linestatus", "l_returnflag"])
 
 
-@query("agg3_invoice_ledger", f"SELECT o_orderkey, o_custkey, string_agg(concat(l_linenumber, ' part ', l_partkey, ' x ', CAST(l_quantity AS BIGINT)), chr(10) ORDER BY {_ALL}) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+@query("agg3_invoice_ledger", f"SELECT o_orderkey, o_custkey, coalesce(items, '') AS items FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(concat(l_linenumber, ' part ', l_partkey, ' x ', CAST(l_quantity AS BIGINT)), chr(10) ORDER BY {_ALL}) AS items FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def _(spark, d):
     items = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     line = F.format_string("%d part %d x %d", "l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint"))
     return L.invoice_ledger(t(spark, d, "orders").select("o_orderkey", "o_custkey"), items, "o_orderkey", _LINE, line)
 
 
-@query("agg4_amount_relation", """WITH s AS (SELECT l_orderkey AS o_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS summed FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CAST(summed + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS DOUBLE) AS stated, CAST(summed AS DOUBLE) AS summed, o_orderstatus <> 'P' AS agrees FROM orders JOIN s USING (o_orderkey)""")
-def _(spark, d):
-    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+_STATED = """s AS (SELECT l_orderkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS summed, count(*) FILTER (l_linenumber = 7 AND l_extendedprice <> 0) AS bad FROM lineitem GROUP BY 1),
+h AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN coalesce(summed, 0) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END END AS stated, summed, coalesce(bad, 0) AS n_bad_items FROM orders LEFT JOIN s ON k = o_orderkey),
+c AS (SELECT *, stated IS NULL OR coalesce(stated = summed, false) AS agrees FROM h),
+x AS (SELECT *, concat_ws(';', CASE WHEN NOT agrees AND summed IS NULL THEN 'total without items' WHEN NOT agrees THEN 'items differ from total' END, CASE WHEN n_bad_items > 0 THEN 'quantity x price differs from amount' END) AS reasons FROM c)"""
+
+
+def _stated(spark, d):
+    """Invoices with a stated total (for some none), and items; a seventh item's price is wrong."""
+    amount, seventh = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_linenumber") == 7
+    items = t(spark, d, "lineitem").withColumn("amount", amount).withColumn("quantity", F.when(seventh, 2).otherwise(1)).withColumn("price", amount)
+    items = items.withColumnRenamed("l_orderkey", "o_orderkey")
     sums = items.groupBy("o_orderkey").agg(F.sum("amount").alias("s"))
-    heads = t(spark, d, "orders").join(sums, "o_orderkey").select("o_orderkey", (F.col("s") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("total"))
-    out = C.amount_relation(items, heads, "o_orderkey", "amount", "total")
-    return out.withColumns({c: F.col(c).cast("double") for c in ("stated", "summed")})
+    total = F.coalesce("s", F.lit(0)) + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)
+    heads = t(spark, d, "orders").join(sums, "o_orderkey", "left").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "F", total).alias("total"))
+    return heads, items
+
+
+@query("agg4_amount_relation", f"WITH {_STATED} SELECT o_orderkey, CAST(stated AS DOUBLE) AS stated, CAST(summed AS DOUBLE) AS summed, n_bad_items, agrees, reasons FROM x")
+def _(spark, d):
+    heads, items = _stated(spark, d)
+    out = C.amount_relation(items, heads, "o_orderkey", "amount", "total", quantity="quantity", price="price")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("stated", "summed")}).withColumn("reasons", F.array_join("reasons", ";"))
+
+
+@query("invoice_job", f"""WITH {_STATED}, i AS (SELECT l_orderkey, string_agg(concat(l_linenumber, ' part ', l_partkey), chr(10) ORDER BY {_ALL}) AS items FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_custkey, CAST(stated AS DOUBLE) AS total, coalesce(items, '') AS items, reasons, CASE WHEN reasons = '' THEN 'normal' ELSE 'review' END AS route FROM x LEFT JOIN i ON l_orderkey = o_orderkey""")
+def _(spark, d):
+    heads, items = _stated(spark, d)
+    line = F.format_string("%d part %d", "l_linenumber", "l_partkey")
+    out = invoice_job(heads, items, "o_orderkey", _LINE, line, "amount", "total", "quantity", "price")
+    return out.withColumn("total", F.col("total").cast("double")).withColumn("reasons", F.array_join("reasons", ";"))
+
+
+@query("contract_job", """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '???' WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS name, coalesce(s, '') AS o_orderstatus_lines,
+CASE WHEN c_mktsegment = 'BUILDING' THEN 'unreadable name' ELSE '' END AS reasons, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'not stated: name' ELSE '' END AS notes, CASE WHEN c_mktsegment = 'BUILDING' THEN 'review' ELSE 'normal' END AS route
+FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderstatus, chr(10) ORDER BY o_orderdate, o_orderkey) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def _(spark, d):
+    segment = F.col("c_mktsegment")
+    heads = t(spark, d, "customer").select("c_custkey", F.when(segment == "BUILDING", "???").when(segment != "MACHINERY", segment).alias("name"))
+    out = contract_job(heads, t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus"], ["name"])
+    return out.withColumns({c: F.array_join(c, ";") for c in ("reasons", "notes")})
+
+
+@query("minutes_job", """SELECT o_orderkey, o_orderpriority, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN '' WHEN l_returnflag = 'R' THEN '???' ELSE l_returnflag END AS owner, CASE WHEN l_returnflag = 'R' THEN 'unreadable owner' ELSE '' END AS reasons,
+CASE WHEN l_returnflag = 'N' OR l_returnflag IS NULL THEN 'not stated: owner' ELSE '' END AS notes, CASE WHEN l_returnflag = 'R' THEN 'review' ELSE 'normal' END AS route FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""")
+def _(spark, d):
+    owner = F.when(F.col("l_returnflag") == "N", "").when(F.col("l_returnflag") == "R", "???").otherwise(F.col("l_returnflag"))
+    todos = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", owner.alias("owner"))
+    out = minutes_job(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), todos, "o_orderkey", ["owner"])
+    return out.withColumns({c: F.array_join(c, ";") for c in ("reasons", "notes")})
 
 
 @query("agg5_contract_ledger", """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS total, coalesce(s, '') AS o_orderstatus_lines, coalesce(p, '') AS o_orderpriority_lines FROM customer LEFT JOIN (
@@ -247,10 +294,13 @@ def _(spark, d):
     return C.collect_reasons(rows, "l_orderkey", "reason")
 
 
-@query("agg9_assemble_documents", "SELECT conv_id, role, count(*) AS n_candidates, max(a <> z) AS conflict FROM (SELECT conv_id, role, turn // 2 AS slot, min(length(text)) AS a, max(length(text)) AS z FROM conversations GROUP BY ALL) GROUP BY 1, 2")
+@query("agg9_assemble_documents", """WITH p AS (SELECT conv_id, role, turn // 2 AS slot, count(DISTINCT length(text)) AS n, string_agg(DISTINCT CAST(length(text) AS VARCHAR), '|' ORDER BY CAST(length(text) AS VARCHAR)) AS v FROM conversations GROUP BY ALL)
+SELECT conv_id, role, string_agg(concat(slot, '=', v), ';' ORDER BY slot) AS content, CAST(sum(n) AS BIGINT) AS n_candidates, max(n > 1) AS conflict FROM p GROUP BY 1, 2""")
 def _(spark, d):
-    rows = t(spark, d, "conversations").select("conv_id", "role", F.expr("turn div 2").alias("slot"), F.length("text").alias("value"))
-    return C.assemble_documents(rows, ["conv_id", "role"], "slot", "value")
+    rows = t(spark, d, "conversations").select("conv_id", "role", F.expr("turn div 2").alias("slot"), F.length("text").cast("string").alias("value"))
+    out = C.assemble_documents(rows, ["conv_id", "role"], "slot", "value")
+    shown = F.transform("content", lambda x: F.concat(x["position"].cast("string"), F.lit("="), F.array_join(x["values"], "|")))
+    return out.withColumn("content", F.array_join(shown, ";"))
 
 
 @query("win1_dedupe_content", "SELECT doc_id, first AS kept_as FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE doc_id <> first")
@@ -391,7 +441,52 @@ def _(spark, d):
     return rule_extract(t(spark, d, "documents").select("doc_id", "text"), "text", {"mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+", "number": "[0-9]{6,}"}).drop("text")
 
 
-@query("udf3_classify_attempts", """SELECT user_id, tries, CASE WHEN last <> 'error' THEN 'done' WHEN tries < 15 THEN 'retry' ELSE 'give_up' END AS next_action
+@query("udf3_classify_attempts", """SELECT user_id, tries, CASE WHEN last IN ('purchase', 'view', 'click') THEN 'done' WHEN last <> 'error' THEN 'stop' WHEN tries < 15 THEN 'retry' ELSE 'give_up' END AS next_action
 FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS tries, arg_max(event_type, ts) AS last FROM events GROUP BY 1)""")
 def _(spark, d):
-    return B.classify_attempts(t(spark, d, "events"), "user_id", "ts", "event_type", "error", 15)
+    return B.classify_attempts(t(spark, d, "events"), "user_id", "ts", "event_type", ("error",), ("purchase", "view", "click"), 15)
+
+
+@query("udf2_block_reader", "SELECT doc_id AS file_id, CAST(i - 1 AS INTEGER) AS block_no, CAST(i AS INTEGER) AS para, string_split(text, chr(10))[i] AS text, 'read' AS status FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE lang <> 'es' UNION ALL SELECT doc_id, NULL, NULL, NULL, 'failed: ValueError' FROM documents WHERE lang = 'es'")
+def _(spark, d):
+    """Texts as files: one kind has a reader that is plugged in, the other has none."""
+
+    def lines(content: bytes):
+        for i, line in enumerate(content.decode().split("\n"), 1):
+            yield "para", i, None, None, line
+
+    path = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "es", ".pdf").otherwise(".txt"))
+    files = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), path.alias("path"), F.col("text").cast("binary").alias("content"))
+    return read_blocks(files, {"txt": lines}).select(F.col("file_id").cast("long").alias("file_id"), "block_no", "para", "text", "status")
+
+
+@query("snk1_write_ledger", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'review' ELSE 'normal' END AS sheet FROM orders")
+def _(spark, d):
+    rows, out = t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), scratch(spark, "ledger")
+    write_ledger(rows.where("o_orderstatus <> 'P'"), rows.where("o_orderstatus = 'P'"), out, "1")
+    return B.full_batch_view(latest_export(spark, out).drop("run_id"), latest_export(spark, out, "review").drop("run_id"))
+
+
+@query("snk2_save_results", """SELECT o_orderpriority AS batch_id, o_orderkey AS file_id, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS attempt FROM orders WHERE o_orderstatus <> 'P' OR o_custkey % 2 = 0""")
+def _(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("batch_id"), F.col("o_orderkey").alias("file_id"), "o_custkey", "o_orderstatus")
+    store, under_review = scratch(spark, "store"), rows.where("o_orderstatus = 'P'")
+    save_results(rows.drop("o_orderstatus").withColumn("attempt", F.lit(1)), store)
+    # of the files that are tried again some have no result this time
+    again = under_review.where("o_custkey % 2 = 0").drop("o_orderstatus").withColumn("attempt", F.lit(2))
+    replace_results(under_review.select("batch_id", "file_id"), again, store)
+    return saved_results(spark, store)
+
+
+@query("str1_resume_stream", "SELECT event_id, user_id, upper(event_type) AS event_type FROM events")
+def _(spark, d):
+    """Intake of the table's files as a stream; a second run finds nothing new."""
+    at = scratch(spark, "stream")
+    own = t(spark, d, "events").select("event_id", "user_id", "event_type")
+    own.where("event_type = 'error'").write.mode("append").parquet(f"{at}/in")
+    take = lambda: resume_stream(spark, f"{at}/in", "event_id long, user_id long, event_type string", f"{at}/out", f"{at}/mark", lambda x: x.withColumn("event_type", F.upper("event_type"))).awaitTermination()
+    take()
+    own.where("event_type <> 'error' OR event_type IS NULL").write.mode("append").parquet(f"{at}/in")
+    take()
+    take()
+    return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type")

@@ -11,11 +11,14 @@ from ..operators.ledgers import voucher_ledger
 
 def voucher_job(headers: DataFrame, entries: DataFrame, key: str, header_fields: list[str]) -> DataFrame:
     """headers (key, ...) and entries (key, currency, unit, debit, credit, header fields, ...):
-    a row for each entry, with its voucher's reasons and route. Balance, conflicts and the
-    join with headers share the key."""
+    a row for each entry, with its voucher's reasons and route; an entry without a header goes
+    to review. Entries are dealt out by key once: balance, conflicts and both joins use that."""
+    entries = entries.repartition(key)
     unbalanced = voucher_balance(entries, [key, "currency", "unit"], "debit", "credit").where("NOT balanced")
     unbalanced = unbalanced.select(key, F.lit("unbalanced").alias("reason"))
     conflicts = header_conflict(entries, key, header_fields).select(key, F.concat(F.lit("conflict in "), "field").alias("reason"))
     reasons = unbalanced.unionByName(conflicts).groupBy(key).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
     rows = voucher_ledger(headers, entries, key).join(reasons, key, "left")
-    return routed(rows.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    alone = F.when(F.col("header_found"), none).otherwise(F.array(F.lit("no header")))
+    return routed(rows.withColumn("reasons", F.concat(alone, F.coalesce("reasons", none))).drop("header_found"))

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fields of a ledger without a template, by type of document.
+DEFAULT_FIELDS = {
+    "invoice": ("invoice_no", "taxpayer_no", "currency", "unit", "total", "items"),
+    "voucher": ("org", "voucher_no", "voucher_date", "account", "currency", "unit", "debit", "credit"),
+    "contract": ("contract_no", "name", "party_a", "party_b", "total", "condition_lines", "share_lines", "due_lines"),
+    "minutes": ("topic_no", "topic", "resolution", "task", "owner", "due"),
+}
 #: Names of the columns that an export adds.
 PROVENANCE = ("source_file", "source_position", "item_no", "note", "review_reason")
 
@@ -54,8 +61,8 @@ def number_items(records: DataFrame, file: str, order: list[Column | str]) -> Da
 
 
 def latest_result(attempts: DataFrame, file: str, order: str, cols: list[str]) -> DataFrame:
-    """The newest row of each file (max_by: partial aggregation, no sort)."""
-    newest = F.max_by(F.struct(*cols), F.col(order)).alias("x")
+    """The newest row of each file, of several at one time the largest (partial aggregation, no sort)."""
+    newest = F.max_by(F.struct(*cols), F.struct(order, *cols)).alias("x")
     return attempts.groupBy(file).agg(newest).select(file, "x.*")
 
 
@@ -81,8 +88,10 @@ def source_order(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*order)
 
 
-def default_fields(records: DataFrame, doc_type: str, fields: dict[str, list[str]]) -> DataFrame:
-    return records.select(*fields[doc_type])
+def default_fields(records: DataFrame, doc_type: str, fields: dict[str, list[str]] | None = None) -> DataFrame:
+    """The type's fields in their order; one that records don't have is an empty column."""
+    own = (fields or DEFAULT_FIELDS)[doc_type]
+    return records.select(*(F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in own))
 
 
 def check_template(columns: list[str | None]) -> None:
@@ -120,8 +129,11 @@ def sources_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.exceptAll(after).withColumn("side", F.lit("before")).unionByName(after.exceptAll(before).withColumn("side", F.lit("after")))
 
 
-def classify_attempts(attempts: DataFrame, file: str, ts: str, status: str, temporary: str, max_tries: int) -> DataFrame:
-    """(file, tries, next_action): done, retry (a temporary failure with tries left), give_up."""
-    out = attempts.groupBy(file).agg(F.count_if(F.col(status) == temporary).alias("tries"), F.max_by(status, ts).alias("last"))
-    action = F.when(F.col("last") != temporary, "done").when(F.col("tries") < max_tries, "retry").otherwise("give_up")
+def classify_attempts(attempts: DataFrame, file: str, ts: str, status: str, temporary: tuple[str, ...], done: tuple[str, ...], max_tries: int) -> DataFrame:
+    """(file, tries, next_action) by the last status: done, retry (a temporary failure with tries
+    left), give_up (without), or stop (any other: trying again can't help)."""
+    newest = F.max_by(status, F.struct(ts, status)).alias("last")
+    out = attempts.groupBy(file).agg(F.count_if(F.col(status).isin(*temporary)).alias("tries"), newest)
+    again = F.when(F.col("tries") < max_tries, "retry").otherwise("give_up")
+    action = F.when(F.col("last").isin(*done), "done").when(F.col("last").isin(*temporary), again).otherwise("stop")
     return out.select(file, "tries", action.alias("next_action"))

@@ -14,25 +14,35 @@ def voucher_balance(entries: DataFrame, keys: list[str], debit: str, credit: str
 
 
 def header_conflict(entries: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """(key, field, values) for each header field with more than one value. Values are
-    gathered only for vouchers in conflict, which smallest and largest value tell."""
-    spread = entries.groupBy(key).agg(*(F.min(c).alias(f"{c}_min") for c in cols), *(F.max(c).alias(f"{c}_max") for c in cols))
-    bad = spread.select(key, F.explode(F.array_compact(F.array(*(F.when(F.col(f"{c}_min") != F.col(f"{c}_max"), F.lit(c)) for c in cols)))).alias("field"))
-    long = entries.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols))).alias("x")).select(key, "x.*")
-    return bad.join(long, [key, "field"]).groupBy(key, "field").agg(F.array_join(F.sort_array(F.collect_set("value")), ",").alias("values"))
-
-
-def amount_relation(items: DataFrame, headers: DataFrame, key: str, amount: str, total: str, tol: str = "0") -> DataFrame:
-    """(key, stated, summed, agrees): the items' sum beside the stated total; no stated total
-    agrees with anything."""
-    sums = items.groupBy(key).agg(F.sum(amount).alias("summed"))
-    out = headers.select(key, F.col(total).alias("stated")).join(sums, key)
-    return out.withColumn("agrees", F.coalesce(F.abs(F.col("stated") - F.col("summed")) <= F.lit(tol).cast("decimal(18,2)"), F.lit(True)))
+    """(key, field, values) for each header field with more than one value, in one aggregation
+    by key (partial sets are merged before the shuffle)."""
+    sets = entries.groupBy(key).agg(*(F.collect_set(F.col(c).cast("string")).alias(c) for c in cols))
+    found = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in cols))
+    bad = sets.select(key, F.explode(F.filter(found, lambda x: F.size(x["v"]) > 1)).alias("x"))
+    return bad.select(key, "x.field", F.array_join(F.sort_array("x.v"), ",").alias("values"))
+
+
+def amount_relation(items: DataFrame, headers: DataFrame, key: str, amount: str, total: str, tol: str = "0", quantity: str | None = None, price: str | None = None) -> DataFrame:
+    """(key, stated, summed, n_bad_items, agrees, reasons) of each header: the items' sum beside
+    the stated total, and the number of items whose quantity times price isn't their amount. No
+    stated total agrees with anything; a stated one without items doesn't."""
+    most = F.lit(tol).cast("decimal(18,2)")
+    off = F.lit(False) if quantity is None else F.coalesce(F.abs(F.col(quantity) * F.col(price) - F.col(amount)) > most, F.lit(False))
+    sums = items.groupBy(key).agg(F.sum(amount).alias("summed"), F.count_if(off).alias("n_bad_items"))
+    out = headers.select(key, F.col(total).alias("stated")).join(sums, key, "left").withColumn("n_bad_items", F.coalesce("n_bad_items", F.lit(0)))
+    agrees = F.col("stated").isNull() | F.coalesce(F.abs(F.col("stated") - F.col("summed")) <= most, F.lit(False))
+    out = out.withColumn("agrees", agrees)
+    reasons = [
+        F.when(~F.col("agrees") & F.col("summed").isNull(), F.lit("total without items")),
+        F.when(~F.col("agrees") & F.col("summed").isNotNull(), F.lit("items differ from total")),
+        F.when(F.col("n_bad_items") > 0, F.lit("quantity x price differs from amount")),
+    ]
+    return out.withColumn("reasons", F.array_compact(F.array(*reasons)))
 
 
 def location_exists(results: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Results whose cited position is not among the blocks."""
-    return results.join(blocks.select(*keys).distinct(), keys, "left_anti")
+    """Results whose cited position is not among the blocks, with the reason."""
+    return results.join(blocks.select(*keys).distinct(), keys, "left_anti").withColumn("reason", F.lit("position not in the source"))
 
 
 def collect_reasons(checks: DataFrame, record: str, reason: str) -> DataFrame:
@@ -85,13 +95,13 @@ def required_fields(records: DataFrame, statuses: dict[str, Column]) -> DataFram
 
 
 def assemble_documents(candidates: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
-    """Candidates of one document put together: n_candidates distinct (position, value) pairs
-    (overlapping fragments repeat them), and conflict where one position has two values. Rows
-    with a null key stay apart, each by its position, for review."""
+    """Candidates of one document put together: content, the values at each position in order
+    (more than one value: they contradict each other), n_candidates, the number of distinct
+    (position, value) pairs (overlapping fragments repeat them), and conflict, whether any
+    position has two values. Rows with a null key stay apart, each by its position, for review."""
     salt = F.when(F.greatest(*(F.col(k).isNull().cast("int") for k in keys), F.lit(0)) == 1, F.col(position))
-    each = candidates.withColumn("_apart", salt).groupBy(*keys, "_apart", position).agg(
-        F.min(value).alias("least"), F.max(value).alias("most")
-    )
+    each = candidates.withColumn("_apart", salt).groupBy(*keys, "_apart", F.col(position).alias("_at")).agg(F.sort_array(F.collect_set(value)).alias("_v"))
+    part = F.struct(F.col("_at").alias("position"), F.col("_v").alias("values"))
     return each.groupBy(*keys, "_apart").agg(
-        F.count("*").alias("n_candidates"), F.max(F.coalesce(F.col("least") != F.col("most"), F.lit(False))).alias("conflict")
+        F.array_sort(F.collect_list(part)).alias("content"), F.sum(F.size("_v")).alias("n_candidates"), F.max(F.size("_v") > 1).alias("conflict")
     ).drop("_apart")

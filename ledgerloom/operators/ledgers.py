@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def voucher_ledger(headers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """A row for each entry with its voucher's header values; no summary row."""
-    return headers.join(entries, key)
+    """A row for each entry with its voucher's header values and header_found; no summary row. An
+    entry without a header, or without a key, stays, its header values null."""
+    heads = headers.withColumn("header_found", F.lit(True))
+    return entries.join(heads, key, "left").withColumn("header_found", F.coalesce("header_found", F.lit(False)))
 
 
 def minutes_ledger(topics: DataFrame, todos: DataFrame, key: str) -> DataFrame:
@@ -33,10 +35,11 @@ def ordered(order: list[str], fields: list[str]) -> Column:
 
 
 def invoice_ledger(headers: DataFrame, items: DataFrame, key: str, order: list[str], line: Column) -> DataFrame:
-    """A row for each invoice, its items line by line in one cell (items), in order."""
+    """A row for each invoice, its items line by line in one cell (items), in order; the cell of
+    an invoice without items is empty."""
     own = items.withColumn("_line", line).groupBy(key).agg(ordered(order, ["_line"]).alias("_items"))
     own = own.select(key, F.array_join(F.transform("_items", lambda x: x["_line"]), "\n").alias("items"))
-    return headers.join(own, key)
+    return headers.join(own, key, "left").withColumn("items", F.coalesce("items", F.lit("")))
 
 
 def contract_ledger(contracts: DataFrame, instalments: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:

@@ -26,7 +26,9 @@ def accept_paths(df: DataFrame, path: str = "path", exts: tuple[str, ...] = EXTE
 
 def list_sources(spark: SparkSession, roots: list[str], exts: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, modified_at, n_bytes, content) of all input files under roots."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    # by the listing, so that no other file is opened
+    glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in exts) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
     files = files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("n_bytes"), "content")
     return accept_paths(files, exts=exts, exclude=exclude)
 
@@ -42,7 +44,7 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def docx_blocks(content: bytes) -> Iterator[tuple[str, int | None, int | None, int | None, str]]:
     """(kind, para, row, col, text) of a Word file: headers and footers, then paragraphs and
-    table cells in the order of the body."""
+    table cells in the order of the body, then the names of the images in it."""
 
     def words(node) -> str:
         return "".join(t.text or "" for t in node.iter(_W + "t"))
@@ -58,9 +60,13 @@ def docx_blocks(content: bytes) -> Iterator[tuple[str, int | None, int | None, i
                 para += 1
                 yield "para", para, None, None, words(node)
             elif node.tag == _W + "tbl":
-                for r, row in enumerate(node.iter(_W + "tr"), 1):
-                    for c, cell in enumerate(row.iter(_W + "tc"), 1):
+                # a table within a cell is part of that cell's text
+                for r, row in enumerate(node.findall(_W + "tr"), 1):
+                    for c, cell in enumerate(row.findall(_W + "tc"), 1):
                         yield "cell", None, r, c, words(cell)
+        for name in sorted(z.namelist()):
+            if name.startswith("word/media/"):
+                yield "image", None, None, None, name
 
 
 def block_reader(readers: dict[str, Callable[[bytes], Iterator[tuple]]] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

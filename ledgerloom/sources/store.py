@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local
+    one only where none is set and both are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_ledger(normal: DataFrame, review: DataFrame, out_dir: str, run_id: str, fmt: str = "parquet") -> list[str]:
-    """Writes both tables of a run as a new output; an existing run is never overwritten."""
-    paths = []
+    """Writes both tables of a run as a new output; an existing run is never overwritten. Only
+    when both have been read back and found equal is the run marked as finished."""
+    paths, counts = [], []
     for name, df in (("normal", normal), ("review", review)):
         path = f"{out_dir}/{name}/run_id={run_id}"
         out = df.write.mode("errorifexists")
@@ -16,21 +31,52 @@ def write_ledger(normal: DataFrame, review: DataFrame, out_dir: str, run_id: str
             # keeps null and '' apart
             out = out.options(header=True, nullValue="\\N", emptyValue='""', escape='"')
         out.format(fmt).save(path)
+        back = read_csv_ledger(df.sparkSession, path, df.schema) if fmt == "csv" else df.sparkSession.read.schema(df.schema).parquet(path)
+        found = verify(df, back).collect()
+        if not all(r.ok for r in found):
+            raise ValueError(f"{path} doesn't hold what was written: {found}")
         paths.append(path)
+        counts.append(int(found[0].actual))
+    mark = normal.sparkSession.createDataFrame([tuple(counts)], "n_normal long, n_review long")
+    mark.coalesce(1).write.mode("errorifexists").parquet(f"{out_dir}/finished/run_id={run_id}")
     return paths
 
 
-def read_csv_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv_ledger(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).options(header=True, nullValue="\\N", emptyValue="", escape='"', multiLine=True).csv(path)
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
+
+
 def save_results(results: DataFrame, store: str, buckets: int = 32) -> None:
     """Saves results (batch_id, file_id, ...) with their review reasons by batch and bucket of
     file; only the buckets that results touch are replaced, so pass those buckets whole."""
-    out = results.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
+    out = _bucketed(results if "present" in results.columns else results.withColumn("present", F.lit(True)), buckets)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "bucket").parquet(store)
 
 
+def saved_results(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.parquet(store).where("present").drop("present", "bucket")
+
+
+def replace_results(files: DataFrame, again: DataFrame, store: str, buckets: int = 32) -> None:
+    """The results of files (batch_id, file_id) give way to again (of the same columns as those
+    saved), all others stay. A file that has no results now leaves a row that isn't present,
+    so its bucket is written over even if nothing else is in it."""
+    spark, key = files.sparkSession, ["batch_id", "file_id"]
+    files = files.select(*key).distinct()
+    touched = _bucketed(files, buckets).select("batch_id", "bucket").distinct()
+    saved = spark.read.parquet(store)
+    kept = saved.join(touched, ["batch_id", "bucket"], "left_semi").drop("bucket").join(files, key, "left_anti")
+    none = files.join(again.select(*key).distinct(), key, "left_anti").withColumn("present", F.lit(False))
+    out = kept.unionByName(again.withColumn("present", F.lit(True))).unionByName(none, allowMissingColumns=True)
+    aside = scratch(spark, "replaced")  # a table can't be read and written over at once
+    out.write.parquet(aside)
+    save_results(spark.read.schema(out.schema).parquet(aside), store, buckets)
+
+
 def checksum(df: DataFrame) -> DataFrame:
     """(rows, sum): a fingerprint of the rows as a multiset, whatever their order."""
     h = F.xxhash64(*(F.col(c) for c in sorted(df.columns))).cast("decimal(38,0)")
@@ -56,5 +102,7 @@ def latest(df: DataFrame, run: str = "run_id") -> DataFrame:
     return df.join(df.agg(F.max(run).alias(run)), run, "left_semi")
 
 
-def latest_export(spark: SparkSession, out_dir: str) -> DataFrame:
-    return latest(spark.read.parquet(out_dir))
+def latest_export(spark: SparkSession, out_dir: str, table: str = "normal") -> DataFrame:
+    """The table of the newest finished run; runs that were broken off don't count."""
+    run = spark.read.parquet(f"{out_dir}/finished").agg(F.max("run_id")).first()[0]
+    return spark.read.parquet(f"{out_dir}/{table}/run_id={run}").withColumn("run_id", F.lit(run))
