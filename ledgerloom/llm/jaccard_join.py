@@ -8,12 +8,17 @@
    agrees as a whole, so a frequent passage alone makes no hot entry. (Two empty buckets that
    agree are listed as a pair.)
 3. Similar classes are partitioned into groups (by the smallest class they share a bucket
-   with). A class queries each group in which some class shares a bucket with it. Large
-   groups are split into blocks, so a cell (block of a group, block of queries) is bounded.
-4. In a cell, members are divided into row groups of similar size; the token-group matrix
-   holds each row group's token union. One product of query sets and matrix bounds the
-   overlap of each query with each row group; only row groups whose bound admits the needed
-   overlap are opened, and their members are compared exactly.
+   with, the group's lead). A class queries each group in which some class shares a bucket
+   with it. Queries are compared with the lead first; what these links join needs no more
+   comparison within the lead's component, so a group of very many near copies is done. Then
+   members outside the lead's component meet all queries, and members in it the queries
+   outside it. Large groups are split into blocks, so a cell (block of a group, block of
+   queries) is bounded in sets and in tokens.
+4. In a cell, members are divided into row groups of similar sets (by their smallest hash, a
+   MinHash, and size); the token-group matrix holds each row group's token union. One product
+   of query sets and matrix bounds the overlap of each query with each row group; only row
+   groups whose bound admits the needed overlap are opened, and their members are compared
+   exactly.
 5. A cell passes on a spanning forest of its links, never all pairs. Components follow.
 """
 
@@ -29,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle
+from .shared import bounded, settle, small_batches
 from .textcore import mix, pieces, window_hash, words_of
 
 RATIO = 1.4  # sizes of a bucket scheme: up to this times its smallest
 BLOCK = 1024  # members, or queries, of a cell, in the mean at most
+TOKENS = 1 << 18  # tokens of a cell's members, or queries, in the mean at most
 ROWS = 32  # members of a row group
+MOST = 2_000_000  # rows (of two numbers) of a table that is broadcast; a larger one is joined by a shuffle
+LAST = 2**63 - 1
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +119,7 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
 
 def links_of(members: list[np.ndarray], queries: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links (query, member) that span all components of the links between the two lists."""
-    order = np.argsort([len(s) for s in members], kind="stable")
+    order = np.lexsort(([len(s) for s in members], [s[0] for s in members]))
     m_size = np.array([len(members[i]) for i in order])
     q_size = np.array([len(s) for s in queries])
     tokens = np.unique(np.concatenate(members))
@@ -129,8 +137,7 @@ def links_of(members: list[np.ndarray], queries: list[np.ndarray], num: int, den
     for g, rows in enumerate(groups):
         for i in rows:
             matrix[g, np.searchsorted(tokens, members[i])] = 1
-    least = m_size[::ROWS]
-    most = np.array([m_size[min(i + ROWS, len(m_size)) - 1] for i in range(0, len(m_size), ROWS)])
+    least, most = (what.reduceat(m_size, np.arange(0, len(m_size), ROWS)) for what in (np.minimum, np.maximum))
     step = max(1, (4 << 20) // max(width, 1))
     found: list[tuple[int, int]] = []
     for lo in range(0, len(queries), step):
@@ -162,7 +169,7 @@ def links_of(members: list[np.ndarray], queries: list[np.ndarray], num: int, den
 
 
 def _cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (g, c, b, k, role, tokens), sorted by cell: links of each cell as (a, b)."""
+    """Rows (g, part, c, b, k, role, tokens), sorted by cell: links of each cell as (a, b)."""
     cell, rows = None, []
 
     def close() -> tuple[list[int], list[int]]:
@@ -176,12 +183,12 @@ def _cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
     for batch in batches:
         a, b = [], []
-        for g, c, q, k, role, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if (g, c, q) != cell:
+        for *at, k, role, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if at != cell:
                 if rows:
                     x, y = close()
                     a, b = a + x, b + y
-                cell, rows = (g, c, q), []
+                cell, rows = at, []
             rows.append((k, role, t))
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     if rows:
@@ -189,23 +196,40 @@ def _cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def similar_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text; other columns are
-    left out): documents link when den * intersection >= num * union of their n-gram sets.
+def _linked(holds: DataFrame, asks: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span those between members holds and queries asks (both g, part, k, size)
+    of each part of a group."""
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    component_id is the smallest doc_id reachable by links, itself included. Null and empty
-    texts have an empty set and stand alone. Rows with one doc_id count as one text each. A
-    null doc_id is never a component's id unless nothing else is there.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def blocks(x: DataFrame, name: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / TOKENS)).cast("int")
+        return x.groupBy("g", "part").agg(n.alias(name))
+
+    split = blocks(holds, "mb").join(blocks(asks, "qb"), ["g", "part"])
+    h = F.xxhash64("k")
+    one, every = lambda n: F.pmod(h, n).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = asks.join(split, ["g", "part"]).select("g", "part", every("mb").alias("c"), one("qb").alias("b"), "k", F.lit(2).alias("role"))
+    holds = holds.join(split, ["g", "part"]).select("g", "part", one("mb").alias("c"), every("qb").alias("b"), "k", F.lit(1).alias("role"))
+    cell = ["g", "part", "c", "b"]
+    wanted = asks.unionByName(holds).groupBy(*cell, "k").agg(F.sum("role").cast("int").alias("role"))
+    filled = wanted.join(tokens, "k").select(*cell, "k", "role", "tokens")
+    filled = filled.repartition(parts, *cell).sortWithinPartitions(*cell)
+    return settle(filled.mapInArrow(lambda it: _cells(it, num, den), "a long, b long"), "links")
+
+
+def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """known (doc_id, id, copy, n_shingles, k) of each row, k telling its set (null: an empty
+    one), and (k, component) of each set that is linked with another."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("copy", F.xxhash64("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             h, first = shingle_sets(b.column("text"), n)
             size = np.diff(first)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": size, "k": pa.array(set_keys(h, first), mask=size == 0)})
+            own = {c: b.column(c) for c in ("doc_id", "id", "copy")}
+            yield pa.RecordBatch.from_pydict(own | {"n_shingles": size, "k": pa.array(set_keys(h, first), mask=size == 0)})
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -229,32 +253,70 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
             tokens = pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_pydict({"k": pa.array(set_keys(h, first)), "tokens": tokens})
 
-    known = settle(rows.mapInArrow(keys, "doc_id long, n_shingles long, k long"), "classes")
-    classes = known.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"))
-    from pyspark.sql import Window
-
-    every = Window.partitionBy("key")
-    listed = rows.mapInArrow(buckets, "key long, k long")
-    listed = listed.withColumn("lead", F.min("k").over(every)).withColumn("last", F.max("k").over(every)).where("lead <> last").drop("last")
-    listed = settle(listed.distinct(), "buckets")
+    known = settle(rows.mapInArrow(keys, "doc_id long, id long, copy long, n_shingles long, k long"), "classes")
+    classes = known.where("k is not null").groupBy("k").agg(F.min(F.struct("id", "copy")).alias("at"), F.max("n_shingles").alias("size"))
+    each = rows.mapInArrow(buckets, "key long, k long")
+    # aggregated before the shuffle, so a bucket of very many sets is no load for one task
+    shared = each.groupBy("key").agg(F.min("k").alias("lead"), F.max("k").alias("last")).where("lead <> last").select("key", "lead")
+    listed = settle(each.join(bounded(shared, "shared", MOST), "key").distinct(), "buckets")
     group = listed.groupBy("k").agg(F.min("lead").alias("g"))
     of = listed.select("key", "k").join(group, "k")
     asked = of.select("key", "k").join(of.select("key", "g").distinct(), "key").select("k", "g").distinct()
-    cells = settle(asked.join(group.withColumn("own", F.lit(1)), ["k", "g"], "left").select("k", "g", F.col("own").isNotNull().alias("own")), "cells")
-    split = cells.groupBy("g").agg(
-        F.ceil(F.count_if("own") / BLOCK).cast("int").alias("mb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("qb")
-    )
-    own = cells.join(split, "g").withColumn("h", F.xxhash64("k"))
-    asks = own.select("g", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("c"), F.pmod("h", "qb").cast("int").alias("b"), "k", F.lit(2).alias("role"))
-    holds = own.where("own").select("g", F.pmod("h", "mb").cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("b"), "k", F.lit(1).alias("role"))
-    wanted = asks.unionByName(holds).groupBy("g", "c", "b", "k").agg(F.sum("role").cast("int").alias("role"))
-    needed = classes.join(cells.select("k").distinct(), "k", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    tokens = rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, "k long, tokens binary").dropDuplicates(["k"])
-    filled = wanted.join(tokens, "k").select("g", "c", "b", "k", "role", "tokens")
-    filled = filled.repartition(parts, "g", "c", "b").sortWithinPartitions("g", "c", "b")
-    links = filled.mapInArrow(lambda it: _cells(it, num, den), "a long, b long")
-    joined = components(links)
-    least = joined.join(classes, joined.id == classes.k).groupBy("component").agg(F.min("least").alias("component_id"))
-    label = joined.join(least, "component").select(F.col("id").alias("k"), "component_id")
-    every_class = classes.join(label, "k", "left").select("k", F.coalesce("component_id", "least").alias("component_id"))
-    return known.join(every_class, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    cells = asked.join(group.withColumn("own", F.lit(1)), ["k", "g"], "left").select("k", "g", F.col("own").isNotNull().alias("own"))
+    cells = settle(cells.join(classes.select("k", "size"), "k"), "cells")
+    # the one text from which a set's tokens are taken
+    needed = classes.join(cells.select("k").distinct(), "k", "left_semi").select("at.id", "at.copy")
+    needed = bounded(needed, "needed", MOST)
+    tokens = settle(rows.join(needed, ["id", "copy"], "left_semi").select("text").mapInArrow(sets, "k long, tokens binary").dropDuplicates(["k"]), "tokens")
+    lead = cells.where("k = g").select("g", F.lit(0).alias("part"), "k", "size")
+    first = _linked(lead, cells.where("k <> g").select("g", F.lit(0).alias("part"), "k", "size"), tokens, num, den)
+    label = settle(components(first), "joined")
+    name = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
+    rest = cells.join(name("k"), "k", "left").join(name("g"), "g", "left")
+    inside = F.coalesce("k_of", "k") == F.coalesce("g_of", "g")
+    rest = settle(rest.select("g", "k", "size", "own", inside.alias("inside")), "rest")
+    # part 1: members outside the lead's component and all queries; part 2: members in it and queries outside it
+    two = F.when(F.col("inside"), 2).otherwise(1).alias("part")
+    holds = rest.where("own").select("g", two, "k", "size")
+    asks = rest.select("g", F.explode(F.when(F.col("inside"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("part"), "k", "size")
+    more = _linked(holds, asks, tokens, num, den)
+    if more.isEmpty():
+        joined = label
+    else:
+        joined = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    return known, joined.select(F.col("id").alias("k"), "component")
+
+
+def similar_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text; other columns,
+    whatever their names, are left out): documents link when den * intersection >= num * union
+    of their n-gram sets.
+
+    component_id is the smallest doc_id reachable by links, itself included. Null and empty
+    texts have an empty set and stand alone. Rows with one doc_id count as one text each. A
+    null doc_id is never a component's id unless nothing else is there. An empty table gives no
+    rows; texts are taken whole, however long.
+    """
+    known, joined = _classes(docs, n, num, den)
+    classes = known.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least")).join(joined, "k", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "k"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = classes.join(least, "component").select("k", "component_id")
+    return known.join(label, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_similar(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """docs (doc_id, text; all columns are kept, whatever their names) with one row of each
+    component of similar_components: that of the smallest doc_id (null last), then of the
+    smallest hash of its text; of rows equal in both, one of them. Texts without words stay.
+    An empty table gives no rows; texts are taken whole, however long.
+    """
+    known, joined = _classes(docs, n, num, den)
+    member = known.where("k is not null").select("id", "copy", "k").distinct().join(joined, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    stays = member.groupBy("component").agg(F.min(F.struct("id", "copy")).alias("at")).select("at.id", "at.copy", F.lit(True).alias("stays"))
+    alone = known.where("k is null").select("id", "copy", F.lit(False).alias("stays")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    row = row.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("copy"))
+    found = row.join(stays.unionByName(alone), ["id", "copy"])
+    out = found.where("stays").dropDuplicates(["id", "copy"]).unionByName(found.where("not stays"))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))

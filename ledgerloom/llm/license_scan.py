@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle, small_batches
 from .textcore import pieces, segment_hash, words_of
 
 # Phrases and their labels.
@@ -53,8 +54,9 @@ def license_matches(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices:
 
     Blocks are 2 * stride words long and begin at each multiple of stride, so each passage of
     up to stride + 1 words lies whole in one. Null text counts as empty; each row counts for
-    itself, whatever its doc_id.
+    itself, whatever its doc_id; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     templates = [(t.split(), label, 1.0) for t, label in phrases.items()] + [(t.split(), label, threshold) for t, label in notices.items()]
     if sum(len(w) for w, _, _ in templates) > MAX_TEMPLATE_WORDS or max(len(w) for w, _, _ in templates) > stride:
         raise ValueError("templates are too long")
@@ -118,7 +120,9 @@ def license_matches(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices:
                 "pos": pa.ListArray.from_arrays(cut, pa.array(pos, pa.int64())), "tok": pa.ListArray.from_arrays(cut, pa.array(tok, pa.int64())),
             })
 
-    cut = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(blocks, "doc_id long, row long, n_words long, block long, pos array<long>, tok array<long>".replace("doc_id long, row long", "row long, doc_id long"))
+    fields = "row long, doc_id long, n_words long, block long, pos array<long>, tok array<long>"
+    # written, so that a row has one number in both uses whatever task runs again
+    cut = settle(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(blocks, fields), "blocks")
     # each block's template words, rarest first
     cut = cut.withColumn("own", F.sort_array(F.array_distinct("tok")))
     long_enough = cut.where((F.col("block") < 0) | (F.size("own") >= fewest))

@@ -104,7 +104,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
 
     # at most `sample` rows
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = known.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y double, x binary").orderBy("doc_id", "x").limit(2 * sample).collect()
+    rows = known.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y double, x binary")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()  # of several texts of one doc_id, one
     y = np.array([r.y for r in rows], np.float32)
     space = held = np.zeros((0, 0), np.float32)
     if len(rows):

@@ -13,36 +13,40 @@ from .shared import settle
 
 
 def byte_shards(rows: DataFrame, order: list[str], size: str, n_shards: int) -> DataFrame:
-    """rows with shard (0 to n_shards - 1) and slot (place in its shard, from 0).
+    """rows with shard (0 to n_shards - 1) and slot (place in its shard, from 0); columns of
+    these names are replaced, all others kept, whatever their names.
 
     A row goes to the shard in whose equal part of all bytes its middle lies, so each shard
     is within one row's size of its share; shards follow the order of the columns in order
-    (nulls first; rows equal in all of them are interchangeable). A table without rows gives
-    none. A shard may be empty only if one row is larger than a share.
+    (nulls first; rows equal in all of them are interchangeable). A null size counts as 0. A
+    table without rows gives none. A shard may be empty only if one row is larger than a share.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.withColumn("_size", F.col(size).cast("decimal(38,0)"))
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    bytes_ = F.coalesce(F.col(size).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    own = rows.select(F.struct(*rows.columns).alias("row"), bytes_.alias("bytes"))
+    order = [F.col("row")[c] for c in order]
     # written down, so that what a partition holds stays the same when a task runs again
-    placed = settle(own.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = placed.groupBy("_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = settle(own.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0).cast("decimal(38,0)")
     bases = totals.select(
-        "_part",
-        F.coalesce(F.sum("_bytes").over(before), zero).alias("_byte_base"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row_base"),
-        F.sum("_bytes").over(everything).alias("_all"),
+        "part",
+        F.coalesce(F.sum("bytes").over(before), zero).alias("byte_base"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_base"),
+        F.sum("bytes").over(everything).alias("all"),
     )
-    within = Window.partitionBy("_part").orderBy(*order)
-    run = placed.withColumn("_end", F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(within))
+    within = Window.partitionBy("part").orderBy(*order)
+    run = placed.withColumn("end", F.sum("bytes").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(within))
     # one row a partition
-    run = run.join(F.broadcast(bases), "_part")
-    middle = 2 * (F.col("_byte_base") + F.col("_end")) - F.col("_size")
-    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / (2 * F.col("_all"))).cast("int"))
-    run = run.withColumn("shard", shard).withColumn("_index", F.col("_row_base") + F.col("_rn") - 1)
+    run = run.join(F.broadcast(bases), "part")
+    middle = 2 * (F.col("byte_base") + F.col("end")) - F.col("bytes")
+    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.greatest(2 * F.col("all"), F.lit(1))).cast("int"))
+    run = run.select("row", shard.alias("shard"), (F.col("row_base") + F.col("rn") - 1).alias("index"))
     # one row a shard
-    firsts = run.groupBy("shard").agg(F.min("_index").alias("_first"))
-    out = run.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_index") - F.col("_first"))
-    return out.select(*rows.columns, "shard", "slot")
+    firsts = run.groupBy("shard").agg(F.min("index").alias("first"))
+    out = run.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("index") - F.col("first"))
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), "shard", "slot")

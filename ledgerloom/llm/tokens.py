@@ -100,6 +100,9 @@ class Encoder:
         rows: list[list[int]] = [[]] * len(found)
         take, other = self.model.tokenize, []
         for i, x in enumerate(found):
+            if not self.known_rules:
+                other.append(i)
+                continue
             if self.keeps_space:
                 head, word = ("\u0120", x[1:]) if x[:1] == b" " else ("", x)
             else:
