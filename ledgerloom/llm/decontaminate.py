@@ -12,6 +12,7 @@ memory-mapped; documents are scanned where they are and never shuffled.
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .shared import fresh_dir, read_array, write_array
 from .textcore import Words, pieces, ranges, sliding, window_hash, words_of
 
 BLOCK_BYTES = 16 << 20
+HELD = 8  # blocks that a task holds open
+PAIRS = 1 << 20  # places of grams in the benchmark that are followed at once
 
 
 def winnowed(h: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
@@ -51,7 +54,8 @@ def _index_block(words: Words, ids: list[str], n: int, k: int) -> dict[str, np.n
             hs = window_hash(words.hash, size)[words.first[:-1][own]]
             order = np.argsort(hs, kind="stable")
             out[f"short{size}"], out[f"short{size}_item"] = hs[order], own[order].astype(np.int64)
-    out["ids"] = np.frombuffer(json.dumps(ids).encode(), np.uint8)
+    names = [x.encode() for x in ids]
+    out["ids"], out["id_end"] = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(x) for x in names]).astype(np.int64)
     return out
 
 
@@ -60,22 +64,31 @@ class Index:
 
     def __init__(self, uri: str, kinds: dict[str, str]) -> None:
         self.part = {k: read_array(f"{uri}/{k}.bin", kind) for k, kind in kinds.items()}
-        self.ids = json.loads(bytes(self.part["ids"]))
         self.short = sorted(int(k[5:]) for k in kinds if k.startswith("short") and not k.endswith("item"))
 
-    def pairs(self, keys: np.ndarray, name: str, to: str) -> tuple[np.ndarray, np.ndarray]:
-        """(number in keys, what stands at the key) for each key that is found."""
+    def name(self, item: int) -> str:
+        end = self.part["id_end"]
+        return bytes(self.part["ids"][int(end[item - 1]) if item else 0 : int(end[item])]).decode()
+
+    def pairs(self, keys: np.ndarray, name: str, to: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number in keys, what stands at the key) for each key that is found, so many at once
+        that a gram of very many items takes no more memory than others."""
         lo = np.searchsorted(self.part[name], keys, "left")
         found = np.flatnonzero(lo < len(self.part[name]))
         found = found[self.part[name][lo[found]] == keys[found]]
         size = np.searchsorted(self.part[name], keys[found], "right") - lo[found]
-        return np.repeat(found, size), np.asarray(self.part[to])[ranges(lo[found], size)]
+        run = np.cumsum(size)
+        for at in range(0, int(run[-1]) if len(run) else 0, PAIRS):
+            first, last = np.searchsorted(run, [at, min(at + PAIRS, run[-1]) - 1], "right")
+            own = np.arange(first, last + 1)
+            begin = np.maximum(at - (run[own] - size[own]), 0)
+            n = np.minimum(size[own], at + PAIRS - (run[own] - size[own])) - begin
+            yield np.repeat(found[own], n), np.asarray(self.part[to])[ranges(lo[found[own]] + begin, n)]
 
 
-def _hits(w: Words, index: Index, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(w: Words, index: Index, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(first word, end word, item) of what the documents share with the block."""
     doc = w.doc()
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     h = window_hash(w.hash, k)
     if len(h) and len(index.part["fp"]):
         width = n - k + 1
@@ -83,31 +96,26 @@ def _hits(w: Words, index: Index, n: int, k: int) -> tuple[np.ndarray, np.ndarra
         if len(doc) >= n:
             same[: len(doc) - n + 1] = doc[: len(doc) - n + 1] == doc[n - 1 :]
         at = np.flatnonzero(winnowed(h, same, width))
-        i, q = index.pairs(h[at], "fp", "fp_at")
-        p = at[i]
-        item = np.searchsorted(index.part["first"], q, "right") - 1
         bench, first = index.part["words"], np.asarray(index.part["first"])
-        left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        go_l, go_r = np.ones(len(p), bool), np.ones(len(p), bool)
-        go_l &= doc[p] == doc[np.minimum(p + k - 1, len(doc) - 1)]
-        go_r &= go_l
-        whole = go_l.copy()
-        for j in range(1, width):
-            x, y = np.maximum(p - j, 0), np.maximum(q - j, 0)
-            go_l &= (p - j >= w.first[:-1][doc[p]]) & (q - j >= first[item]) & (w.hash[x] == bench[y])
-            left += go_l
-            x, y = np.minimum(p + k - 1 + j, len(doc) - 1), np.minimum(q + k - 1 + j, len(bench) - 1)
-            go_r &= (p + k - 1 + j < w.first[1:][doc[p]]) & (q + k - 1 + j < first[item + 1]) & (w.hash[x] == bench[y])
-            right += go_r
-        ok = whole & (left + right + k >= n)
-        found.append(((p - left)[ok], (p + k + right)[ok], item[ok]))
+        for i, q in index.pairs(h[at], "fp", "fp_at"):
+            p = at[i]
+            item = np.searchsorted(first, q, "right") - 1
+            left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+            whole = doc[p] == doc[np.minimum(p + k - 1, len(doc) - 1)]
+            go_l, go_r = whole.copy(), whole.copy()
+            for j in range(1, width):
+                x, y = np.maximum(p - j, 0), np.maximum(q - j, 0)
+                go_l &= (p - j >= w.first[:-1][doc[p]]) & (q - j >= first[item]) & (w.hash[x] == bench[y])
+                left += go_l
+                x, y = np.minimum(p + k - 1 + j, len(doc) - 1), np.minimum(q + k - 1 + j, len(bench) - 1)
+                go_r &= (p + k - 1 + j < w.first[1:][doc[p]]) & (q + k - 1 + j < first[item + 1]) & (w.hash[x] == bench[y])
+                right += go_r
+            ok = whole & (left + right + k >= n)
+            yield (p - left)[ok], (p + k + right)[ok], item[ok]
     for size in index.short:
         _, at, hs = w.windows(size)
-        i, item = index.pairs(hs, f"short{size}", f"short{size}_item")
-        found.append((at[i], at[i] + size, item))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        for i, item in index.pairs(hs, f"short{size}", f"short{size}_item"):
+            yield at[i], at[i] + size, item
 
 
 def _lists(values: pa.Array, count: np.ndarray) -> pa.Array:
@@ -142,32 +150,36 @@ def shared_spans(docs: DataFrame, bench: DataFrame, n: int = 13, k: int = 5) ->
     """docs (with a text column; all columns are kept) and n_words, spans (word ranges within
     any occurrence of a benchmark window, disjoint, from 0, end excluded) and items (ids of
     the items with such windows, as sorted strings). A null or empty text has no words. A
-    null item_id counts as ''. An empty benchmark gives no spans. Columns named n_words,
-    spans or items are replaced.
+    null item_id counts as ''. An empty benchmark gives no spans, an empty table no rows;
+    repeated rows are judged alike. Columns named n_words, spans or items are replaced.
     """
     folder, blocks = index_benchmark(bench, n, k)
     docs = docs.drop("n_words", "spans", "items")
     schema = docs.sparkSession.createDataFrame([], SPANS).schema
-    held: dict[int, Index] = {}
+    held: OrderedDict[int, Index] = OrderedDict()
+
+    def opened(block: dict) -> Index:
+        if block["part"] not in held:
+            held[block["part"]] = Index(f"{folder}/{block['part']}", block["kinds"])
+            while len(held) > HELD:
+                held.popitem(last=False)
+        held.move_to_end(block["part"])
+        return held[block["part"]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        # of a benchmark of more blocks than stay open, each is opened once for more texts
+        for b in pieces(batches, n_bytes=(1 << 20) * (1 if len(blocks) <= HELD else 4)):
             w = words_of(b.column("text"), "alnum")
             edge = np.zeros(len(w.hash) + 1, np.int64)
-            named: list[tuple[int, str]] = []
+            named: set[tuple[int, str]] = set()
             doc = w.doc()
             for block in blocks:
-                if len(blocks) == 1 and block["part"] in held:
-                    index = held[block["part"]]
-                else:
-                    index = held[block["part"]] = Index(f"{folder}/{block['part']}", block["kinds"])
-                if len(blocks) > 1:
-                    held.clear()
-                a, z, item = _hits(w, index, n, k)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, z, -1)
-                both = np.unique(np.stack((doc[a], item)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-                named += [(d, index.ids[i]) for d, i in both.T.tolist()]
+                index = opened(block)
+                for a, z, item in _hits(w, index, n, k):
+                    np.add.at(edge, a, 1)
+                    np.add.at(edge, z, -1)
+                    if len(a):
+                        named |= {(d, index.name(i)) for d, i in np.unique(np.stack((doc[a], item)), axis=1).T.tolist()}
             hit = np.cumsum(edge[:-1]) > 0
             prev = np.concatenate(([False], hit[:-1]))
             new = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
@@ -176,7 +188,7 @@ def shared_spans(docs: DataFrame, bench: DataFrame, n: int = 13, k: int = 5) ->
             per = np.bincount(doc[begins], minlength=b.num_rows) if len(begins) else np.zeros(b.num_rows, np.int64)
             base = w.first[:-1][doc[begins]] if len(begins) else np.zeros(0, np.int64)
             spans = _lists(pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()), pa.array(ends - base, pa.int64())], ["first", "end"]), per)
-            named = sorted(set(named))
+            named = sorted(named)
             items = _lists(pa.array([x for _, x in named], pa.string()), np.bincount([d for d, _ in named], minlength=b.num_rows) if named else np.zeros(b.num_rows, np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w.count(), pa.int64()), spans, items], [*b.schema.names, "n_words", "spans", "items"])
 

@@ -184,6 +184,19 @@ def test_dedup_lines_rewrites_texts(spark):
     assert dedup_lines(df).count() == 4
 
 
+def test_frequent_grams_are_followed_in_parts(monkeypatch):
+    import numpy as np
+
+    from ledgerloom.llm import decontaminate as D
+
+    index = D.Index("", {})
+    index.part = {"k": np.array([1, 2, 2, 2, 2, 5, 5], np.uint64), "v": np.arange(7)}
+    for most in (1, 2, 3, 5, 100):
+        monkeypatch.setattr(D, "PAIRS", most)
+        parts = [list(zip(i.tolist(), q.tolist())) for i, q in index.pairs(np.array([5, 2, 9, 2], np.uint64), "k", "v")]
+        assert max(map(len, parts)) <= most and sorted(sum(parts, [])) == sorted([(0, 5), (0, 6), *((i, j) for i in (1, 3) for j in (1, 2, 3, 4))])
+
+
 def test_links_span_all_components():
     r = random.Random(2)
     import numpy as np
