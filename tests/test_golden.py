@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.fields import as_identifier, blank_status, config_fingerprint, parse_amount, stated_date
 from ledgerloom.functions.fragments import fragment_text
+from ledgerloom.jobs.batch import retry_batch, run_batch
+from ledgerloom.jobs.ledgers import invoice_job
 from ledgerloom.jobs.voucher import voucher_job
 from ledgerloom.operators import batches as B
 from ledgerloom.operators import checks as C
 from ledgerloom.operators import ledgers as L
 from ledgerloom.operators.extract import extract
 from ledgerloom.sources.files import list_sources, read_blocks
-from ledgerloom.sources.store import latest_export, read_csv_ledger, save_results, verify_export, write_ledger
+from ledgerloom.sources.store import latest_export, read_csv_ledger, replace_results, save_results, saved_results, verify_export, write_ledger
 from ledgerloom.streaming.resume import resume_stream
 
 ENTRY = "v string, seq int, org string, currency string, unit string, debit decimal(18,2), credit decimal(18,2)"
@@ -177,3 +179,77 @@ def test_routing_is_complete(spark):
     df = spark.createDataFrame([(1, []), (2, ["x"]), (3, None)], "id int, reasons array<string>")
     a, b = C.split_review(df)
     assert sorted(r.id for r in a.collect()) == [1, 3] and [r.id for r in b.collect()] == [2]
+
+
+def test_invoice_without_items_stays(spark):
+    heads = spark.createDataFrame([("1", "5.00"), ("2", None), ("3", "7.00")], "no string, total string").withColumn("total", F.col("total").cast("decimal(18,2)"))
+    items = spark.createDataFrame([("3", 1, "3.00", 2, "1.50"), ("3", 2, "4.00", 3, "1.00")], "no string, seq int, a string, q int, p string")
+    items = items.withColumn("a", F.col("a").cast("decimal(18,2)")).withColumn("p", F.col("p").cast("decimal(18,2)"))
+    rows = {r.no: r for r in invoice_job(heads, items, "no", ["seq"], F.col("seq").cast("string"), "a", "total", "q", "p").collect()}
+    assert [(rows[k]["items"], list(rows[k].reasons), rows[k].route) for k in "123"] == [
+        ("", ["total without items"], "review"), ("", [], "normal"), ("1\n2", ["quantity x price differs from amount"], "review"),
+    ]
+
+
+def test_entry_without_header_goes_to_review(spark):
+    e = entry(spark, ("1", 1, "a", "X", "元", "5", "5"), ("9", 1, "a", "X", "元", "5", "5"), (None, 1, "a", "X", "元", "5", "5"))
+    out = voucher_job(spark.createDataFrame([("1", "h")], "v string, head string"), e, "v", ["org"]).collect()
+    assert sorted((r.v or "", r.route, list(r.reasons)) for r in out) == [("", "review", ["no header"]), ("1", "normal", []), ("9", "review", ["no header"])]
+
+
+def test_errors_that_trying_again_cannot_help_stop(spark):
+    rows = [("a", 1, "busy"), ("a", 2, "bad_key"), ("b", 1, "busy"), ("c", 1, "busy"), ("c", 2, "ok"), ("d", 1, "busy"), ("d", 2, "busy")]
+    out = B.classify_attempts(spark.createDataFrame(rows, "f string, t int, s string"), "f", "t", "s", ("busy",), ("ok",), 2)
+    assert {r.f: r.next_action for r in out.collect()} == {"a": "stop", "b": "retry", "c": "done", "d": "give_up"}
+
+
+def test_source_drift_tells_all_four_states(spark):
+    a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "path string, sha string")
+    b = spark.createDataFrame([("x", "1"), ("y", "2"), ("n", "1")], "path string, sha string")
+    assert {r.path: r.state for r in B.source_drift(a, b, "path", "sha").collect()} == {"x": "same", "y": "changed", "z": "missing", "n": "new"}
+
+
+def test_a_run_that_was_broken_off_does_not_count(spark, tmp_path):
+    rows, out = spark.createDataFrame([(1,)], "v int"), f"file://{tmp_path}/out"
+    write_ledger(rows, rows.limit(0), out, "1")
+    rows.union(rows).write.parquet(f"{out}/normal/run_id=2")
+    assert latest_export(spark, out).count() == 1 and latest_export(spark, out, "review").count() == 0
+
+
+def test_batch_resumes_and_retries(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{i}", f"p{i}", str(i)) for i in range(12)], "file_id string, path string, sha string")
+    store, asked = f"file://{tmp_path}/batch", spark.sparkContext.accumulator(0)
+
+    def work(route):
+        def f(df):
+            asked.add(df.count())
+            return df.select("file_id", F.lit(1).alias("v"), F.when(F.col("file_id") == "f3", "review").otherwise(route).alias("route"))
+
+        return f
+
+    config = {"model": "m", "service": "s"}
+    assert run_batch(spark, store, "b", config, files, work("normal")).count() == 12 and asked.value == 12
+    assert run_batch(spark, store, "b", config, files, work("normal")).count() == 12 and asked.value == 12
+    with pytest.raises(ValueError, match="conditions"):
+        run_batch(spark, store, "b", config | {"model": "other"}, files, work("normal"))
+    with pytest.raises(ValueError, match="sources"):
+        run_batch(spark, store, "b", config, files.withColumn("sha", F.lit("0")), work("normal"))
+    after = retry_batch(spark, store, "b", config, files, lambda df: df.select("file_id", F.lit(2).alias("v"), F.lit("normal").alias("route")))
+    assert {r.file_id: r.v for r in after.collect()} == {f"f{i}": 2 if i == 3 else 1 for i in range(12)}
+    replace_results(files.where("file_id = 'f5'").select(F.lit("b").alias("batch_id"), "file_id"), after.limit(0), f"{store}/results", 4)
+    assert saved_results(spark, f"{store}/results").count() == 11
+
+
+def test_tables_within_cells_and_images_are_read_once():
+    import io
+
+    from ledgerloom.sources.files import docx_blocks
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    text = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    table = lambda x: f"<w:tbl><w:tr><w:tc>{x}</w:tc></w:tr></w:tbl>"
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{table(text('a') + table(text('b')))}</w:body></w:document>")
+        z.writestr("word/media/image1.png", b"x")
+    assert list(docx_blocks(raw.getvalue())) == [("cell", None, 1, 1, "ab"), ("image", None, None, None, "word/media/image1.png")]
