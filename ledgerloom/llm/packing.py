@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences (operator 5), in bulk-synchronous rounds.
 
-Pieces go by falling length, in classes of one octave each. A round takes all pieces of the class
+Pieces go by falling length, in classes of one octave each, the short ones together. A round takes all pieces of the class
 and all gaps (the free ends of open sequences; a gap that holds several pieces of the class is
 so many slots), range-sorts them into one list by size, and matches them by a successor sweep:
 each slot, the smallest first, takes the largest piece before it that no smaller slot has taken.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import settle, small_batches
 from .tokens import SLICE, crc32, encoder, pieces, with_end
 
+ITEMS = 100_000  # pieces and slots of a partition of a round
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,21 +75,31 @@ def best_fit(left: DataFrame, capacity: int) -> DataFrame:
     """(rank, sequence_id, offset) of each of left (rank, length): rank tells pieces apart, no
     length is more than capacity. The driver sees a few sums for each round."""
     spark = left.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     gaps, opened, placed = spark.createDataFrame([], "seq long, gap long"), 0, []
     while True:
         most, tokens = left.agg(F.max("length"), F.sum("length")).first()
         if most is None:
             break
-        low = most // 2
+        low = most // 2 if most > capacity // 16 else 0  # the last class takes all short pieces
         own, left = left.where(F.col("length") > low), settle(left.where(F.col("length") <= low), "left")
+
+        def opening(count: int, sum_: int, long: int, free: int) -> tuple[DataFrame, int]:
+            need = max(-(-sum_ // capacity), -(-(tokens - free) // capacity))
+            new = max(long, min(need, -(-count // (capacity // most))))
+            more = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            return gaps.unionByName(more), opened + new
+
         while True:
             count, sum_, long = own.agg(F.count("*"), F.sum("length"), F.count_if(F.col("length") > capacity // 2)).first()
             if not count:
                 break
+            free, wide = gaps.agg(F.sum("gap"), F.sum(F.when(F.col("gap") > low, F.greatest(F.floor(F.col("gap") / most), F.lit(1))))).first()
+            if not wide:
+                gaps, opened = opening(count, sum_, long, free or 0)
+                continue
             each = F.greatest(F.floor(F.col("gap") / most), F.lit(1))
             slots = gaps.where(F.col("gap") > low).select("seq", F.floor(F.col("gap") / each).alias("size"), F.explode(F.sequence(F.lit(0), each.cast("int") - 1)).alias("slot"))
-            found = _matched(own, slots, n).join(gaps, "seq")
+            found = _matched(own, slots, -(-(count + wide) // ITEMS)).join(gaps, "seq")
             before = Window.partitionBy("seq").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
             offset = capacity - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))
             found = settle(found.select("rank", "length", F.col("seq").alias("sequence_id"), offset.alias("offset")), "placed")
@@ -99,11 +110,7 @@ def best_fit(left: DataFrame, capacity: int) -> DataFrame:
                 own = settle(own.join(found.select("rank"), "rank", "left_anti"), "left")
                 gaps = settle(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
                 continue
-            free = gaps.agg(F.sum("gap")).first()[0] or 0
-            need = max(-(-sum_ // capacity), -(-(tokens - free) // capacity))
-            new = max(long, min(need, -(-count // (capacity // most))))
-            more = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-            gaps, opened = gaps.unionByName(more), opened + new
+            gaps, opened = opening(count, sum_, long, free or 0)
     every = spark.createDataFrame([], "rank long, length long, sequence_id long, offset long")
     for table in placed:
         every = every.unionByName(table)
