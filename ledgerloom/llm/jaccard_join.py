@@ -3,13 +3,13 @@
 1. Each text becomes the set of its distinct word n-grams (64-bit hashes). Texts with equal
    sets form one class; all that follows works on classes.
 2. Candidates: at a Jaccard similarity of t or more, two sets of sizes up to s differ in at
-   most k = (1-t)/(1+t) * 2s tokens. Tokens are dealt to k + 2 buckets by hash, so at least two
-   buckets agree. A class is listed under the hash of each bucket; a bucket of a near copy
-   agrees as a whole, so a frequent passage alone makes no hot entry. (Two empty buckets that
-   agree are listed as a pair.)
+   most k = (1-t)/(1+t) * 2s tokens. Tokens are dealt to k + 2 buckets and some spare ones by
+   hash, so at least two buckets that aren't empty agree, or both sets leave more buckets empty
+   than there are spare ones. A class is listed under the hash of each bucket; a bucket of a near
+   copy agrees as a whole, so a frequent passage alone makes no hot entry. (Classes with too many
+   empty buckets are listed together.)
 3. Similar classes are partitioned into groups (by the smallest class they share a bucket
-   with, the group's lead). A class queries each group in which some class shares a bucket
-   with it. Queries are compared with the lead first; what these links join needs no more
+   with, the group's lead). A class queries each group in whose buckets it is twice. Members are compared with their lead first; what these links join needs no more
    comparison within the lead's component, so a group of very many near copies is done. Then
    members outside the lead's component meet all queries, and members in it the queries
    outside it. Large groups are split into blocks, so a cell (block of a group, block of
@@ -77,7 +77,7 @@ def _class_of(size: np.ndarray) -> np.ndarray:
 def _spare(scheme: int, top: int, k: int) -> int:
     """How many buckets of the scheme's smallest sets may be empty."""
     least, spare = max(1.0, RATIO**scheme), 1
-    while (m := k + 1 + spare) < 40 * top:
+    while (m := k + 2 + spare) < 40 * top:
         empty = m * exp(-least / m)
         if empty + 4 * sqrt(empty) + 1 <= spare:
             break
@@ -98,7 +98,7 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         k = 2 * top * (den - num) // (den + num)
         use = use & (k > 0) & (size > 0)
         spare = np.array([_spare(int(s), int(t), int(x)) for s, t, x in zip(scheme, top, k, strict=True)], np.int64)
-        m = np.where(use, k + 1 + spare, 0)
+        m = np.where(use, k + 2 + spare, 0)
         base = np.cumsum(m) - m
         mine = use[doc]
         d, x = doc[mine], h[mine]
@@ -112,8 +112,9 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         out_doc.append(of)
         out_key.append(mix(total + mix((scheme[of].astype(np.uint64) << np.uint64(40)) + place + np.uint64(1))))
         scarce = np.flatnonzero(use & (m - np.bincount(of, minlength=len(m)) > spare))
-        out_doc.append(scarce)
-        out_key.append(mix(scheme[scarce].astype(np.uint64) + np.uint64(1 << 60)))
+        for i in (60, 61):  # two keys, as two are asked for
+            out_doc.append(scarce)
+            out_key.append(mix(scheme[scarce].astype(np.uint64) + np.uint64(1 << i)))
     return np.concatenate(out_doc), np.concatenate(out_key).view(np.int64)
 
 
@@ -260,8 +261,12 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     shared = each.groupBy("key").agg(F.min("k").alias("lead"), F.max("k").alias("last")).where("lead <> last").select("key", "lead")
     listed = settle(each.join(bounded(shared, "shared", MOST), "key").distinct(), "buckets")
     group = listed.groupBy("k").agg(F.min("lead").alias("g"))
-    of = listed.select("key", "k").join(group, "k")
-    asked = of.select("key", "k").join(of.select("key", "g").distinct(), "key").select("k", "g").distinct()
+    of = listed.select("key", "k").join(group, "k").join(classes.select("k", "size"), "k")
+    span = [F.min("size").alias("lo"), F.max("size").alias("hi")]
+    fits = (den * F.col("hi") >= num * F.col("size")) & (den * F.col("size") >= num * F.col("lo"))
+    # a partner in a group agrees in two buckets, these are in the group, and sizes are near
+    asked = of.select("key", "k", "size").join(of.groupBy("key", "g").agg(*span), "key").where(fits)
+    asked = asked.groupBy("k", "g").agg(F.count("*").alias("n")).where("n > 1").select("k", "g")
     cells = asked.join(group.withColumn("own", F.lit(1)), ["k", "g"], "left").select("k", "g", F.col("own").isNotNull().alias("own"))
     cells = settle(cells.join(classes.select("k", "size"), "k"), "cells")
     # the one text from which a set's tokens are taken
@@ -269,7 +274,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     needed = bounded(needed, "needed", MOST)
     tokens = settle(rows.join(needed, ["id", "copy"], "left_semi").select("text").mapInArrow(sets, "k long, tokens binary").dropDuplicates(["k"]), "tokens")
     lead = cells.where("k = g").select("g", F.lit(0).alias("part"), "k", "size")
-    first = _linked(lead, cells.where("k <> g").select("g", F.lit(0).alias("part"), "k", "size"), tokens, num, den)
+    first = _linked(lead, cells.where("own and k <> g").select("g", F.lit(0).alias("part"), "k", "size"), tokens, num, den)
     label = settle(components(first), "joined")
     name = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
     rest = cells.join(name("k"), "k", "left").join(name("g"), "g", "left")
@@ -278,7 +283,10 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     # part 1: members outside the lead's component and all queries; part 2: members in it and queries outside it
     two = F.when(F.col("inside"), 2).otherwise(1).alias("part")
     holds = rest.where("own").select("g", two, "k", "size")
-    asks = rest.select("g", F.explode(F.when(F.col("inside"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("part"), "k", "size")
+    # which members a query is twice in the buckets of
+    at = of.join(holds.select("k", "g", "part"), ["k", "g"]).groupBy("key", "g", "part").agg(*span)
+    asks = of.select("key", "k", "size").join(at, "key").where(fits).groupBy("k", "g", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    asks = asks.join(rest.select("k", "g", "size", "inside"), ["k", "g"]).where("part = 1 or not inside").drop("inside")
     more = _linked(holds, asks, tokens, num, den)
     if more.isEmpty():
         joined = label
