@@ -4,9 +4,10 @@ Terms are pairs of neighbouring bytes, by class (letters as they are, one class
 one for non-ASCII letters), hashed to DIMS columns; weights are logarithmic counts times the
 inverse document frequency over all documents. The space is that of the leading singular
 vectors of a sample of labelled documents, of at most `sample` rows by hash of doc_id; one
-more column holds the share of words that repeat the word before them. The sample's bound makes the broadcast vectors bounded as well. Each document takes part whole; its cosine
-with every labelled vector is computed in blocks, and its `neighbours` nearest vote with their
-similarity as weight.
+more column holds the share of words that repeat the word before them. The sample's bound makes
+the broadcast vectors bounded as well. Each document takes part whole; its cosine with every
+labelled vector is computed in blocks, and its `neighbours` nearest vote, each with the eighth
+power of its similarity as weight.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     labels (doc_id, label): rows with a null in either are left out, several rows of one
     doc_id count by their mean. A text without terms (null, empty or one character) gets the
     mean label of the sample; without any labels all get 0.5. Only text goes into a score.
+    Repeated documents are scored alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("score")
