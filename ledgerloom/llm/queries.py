@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
@@ -10,6 +10,7 @@ from .jaccard_join import similar_components
 from .license_scan import NOTICES, PHRASES, license_matches
 from .near_lines import LAST, line_flags
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality_rules import BASE, judged, scored
 from .quality_knn import score_quality
 from .repeats import without_repeats
@@ -100,6 +101,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(settle(rows, "scored")).select("doc_id", *BASE, "base_failed", "kept", "ppl", "ppl_low", "ppl_high")
 
 
+def rewritten(doc_id: Column, text: Column) -> Column:
+    """The text of every tenth document (by hash of doc_id) from word a on repeats the p words that
+    stand there; all other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # as an element of an array the words are found once, however often they are used
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.get(F.transform(F.array(words), repeat), F.lit(0))).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = periodic_runs(docs.select("doc_id", rewritten(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.get(F.array_sort(F.transform("runs", lambda x: F.struct((-x["length"]).alias("n"), x["start"].alias("s"), x["period"].alias("p")))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", F.col("x.s").alias("start"), (-F.col("x.n")).alias("length"), F.col("x.p").alias("period"),
+        F.expr("-1000 * x.n div x.p").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -211,6 +242,50 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard
 FROM cut
 """
 
+#: crc32 of the UTF-8 bytes whose hexadecimal digits are h, as a list of steps over a table of 256 values.
+_CRC_TABLE = """step(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8)"""
+
+
+def _crc_sql(h: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({h}), 2), lambda i: CAST('0x' || substr({h}, i, 2) AS BIGINT))),
+    lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295)"""
+
+
+SQL_12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    hex(encode(CAST(doc_id AS VARCHAR))) AS h FROM documents
+),
+g AS (SELECT r, doc_id, w, len(w) AS n, {_crc_sql("h")} AS h FROM d, crc),
+ga AS (SELECT *, (h // 10) % n AS a FROM g WHERE h % 10 = 0 AND n > 0),
+gp AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM ga),
+e AS (
+  SELECT r, doc_id, n, list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) AS w FROM gp
+  UNION ALL
+  SELECT r, doc_id, n, w FROM g WHERE h % 10 <> 0 OR n = 0 OR h IS NULL
+),
+x AS (SELECT r, n, i, w[i + 1] AS word FROM e, unnest(range(0, n)) AS u(i)),
+pair AS (SELECT a.r, b.i - a.i AS q, a.i AS i FROM x AS a JOIN x AS b ON a.r = b.r AND a.word = b.word AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM island GROUP BY r, q, k),
+run AS (SELECT r, s, len, min(q) AS q FROM stretch WHERE len >= greatest(6, 4 * q) GROUP BY r, s, len),
+gone AS (SELECT DISTINCT r, i FROM run, unnest(range(s + q, s + len)) AS u(i)),
+told AS (
+  SELECT r, count(*) AS n_runs, first(struct_pack(s := s, len := len, q := q) ORDER BY len DESC, s, q) AS b,
+    string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY r
+),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone USING (r, i) WHERE gone.i IS NULL GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM e LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -222,5 +297,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_shards": op9_byte_shards,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
 }
-ORACLE = {"op1_license_scan": SQL_1, "op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9}
+ORACLE = {"op1_license_scan": SQL_1, "op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9, "op12_periodic_runs": SQL_12}
