@@ -16,6 +16,7 @@ from .quality_knn import score_quality
 from .repeats import without_repeats
 from .shared import settle
 from .sharding import byte_shards
+from .spelling import latin_words, spelling_forms
 from .tokens import token_table
 
 WORD_END, BYTE_END = 2, 0
@@ -131,6 +132,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = latin_words(_docs(spark, sf_dir).select("doc_id", "text"), damage=97)
+    return spelling_forms(words.where((F.length("word") >= 5) & (F.col("n") >= 3)))
+
+
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -286,6 +292,33 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q
 FROM e LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
 """
 
+SQL_13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS h FROM d GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc_sql("h")} AS h FROM c, crc),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM h GROUP BY 1
+),
+v AS (SELECT word, CAST(n AS BIGINT) AS n FROM w WHERE length(word) >= 5 AND n >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS n FROM cut AS a JOIN cut AS b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.less = v.word
+  UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.less = v.word
+),
+best AS (SELECT word, count(*) AS n_near, first(struct_pack(other := other, n := n) ORDER BY n DESC, encode(other)) AS b FROM near GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN b.other END AS form, CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+),
+chain AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.next
+)
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.next IS NULL
+"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -298,5 +331,6 @@ QUERIES = {
     "op9_byte_shards": op9_byte_shards,
     "op10_quality_rules": op10_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE = {"op1_license_scan": SQL_1, "op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9, "op12_periodic_runs": SQL_12}
+ORACLE = {"op1_license_scan": SQL_1, "op2_jaccard_join": SQL_2, "op3_substring_dedup": SQL_3, "op8_decontaminate": SQL_8, "op9_byte_shards": SQL_9, "op12_periodic_runs": SQL_12, "op13_spelling_variants": SQL_13}
