@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .jaccard_join import similar_components
+from .language_id import identify
 from .license_scan import NOTICES, PHRASES, license_matches
 from .near_lines import LAST, line_flags
 from .packing import pack
@@ -102,6 +103,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(settle(rows, "scored")).select("doc_id", *BASE, "base_failed", "kept", "ppl", "ppl_low", "ppl_high")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = _docs(spark, sf_dir)
+    # a null doc_id has no remainder and is not held out
+    known = docs.where(~F.coalesce(held_out, F.lit(False))).select("text", "lang")
+    out = identify(docs.select("doc_id", "text"), known)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
 def rewritten(doc_id: Column, text: Column) -> Column:
     """The text of every tenth document (by hash of doc_id) from word a on repeats the p words that
     stand there; all other texts as they are."""
@@ -330,6 +340,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_shards": op9_byte_shards,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language_id": op11_language_id,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
