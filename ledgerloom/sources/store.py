@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local
-    one only where none is set and both are one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir, or what
+    setCheckpointDir was given); a local one only where none is set and both are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -20,6 +21,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch made, by the store's own interface."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_ledger(normal: DataFrame, review: DataFrame, out_dir: str, run_id: str, fmt: str = "parquet") -> list[str]:
     """Writes both tables of a run as a new output; an existing run is never overwritten. Only
     when both have been read back and found equal is the run marked as finished."""
@@ -69,12 +86,18 @@ def replace_results(files: DataFrame, again: DataFrame, store: str, buckets: int
     files = files.select(*key).distinct()
     touched = _bucketed(files, buckets).select("batch_id", "bucket").distinct()
     saved = spark.read.parquet(store)
+    # whatever it cost to make, it is made once
+    once = scratch(spark, "again")
+    again.write.parquet(once)
+    again = spark.read.schema(again.schema).parquet(once)
     kept = saved.join(touched, ["batch_id", "bucket"], "left_semi").drop("bucket").join(files, key, "left_anti")
     none = files.join(again.select(*key).distinct(), key, "left_anti").withColumn("present", F.lit(False))
     out = kept.unionByName(again.withColumn("present", F.lit(True))).unionByName(none, allowMissingColumns=True)
     aside = scratch(spark, "replaced")  # a table can't be read and written over at once
     out.write.parquet(aside)
     save_results(spark.read.schema(out.schema).parquet(aside), store, buckets)
+    drop_folder(spark, once)
+    drop_folder(spark, aside)
 
 
 def checksum(df: DataFrame) -> DataFrame:
