@@ -53,10 +53,13 @@ def cell_lines(items: Column, template: str, fields: tuple[str, ...]) -> Column:
 
 
 def format_location(kind: Column, page: Column, para: Column, row: Column, col: Column) -> Column:
-    """The source position in words: a page for PDF and image, a paragraph, table cell, header
-    or footer for Word, never a page there."""
+    """The source position in words: a page for PDF and image (null where no page is known), a
+    paragraph, table cell, header or footer for Word, never a page there; a picture in a Word file
+    is where the paragraph or cell is that holds it."""
+    where = F.when(para.isNotNull(), F.format_string("picture in paragraph %d", para)).when(row.isNotNull(), F.format_string("picture in table row %d column %d", row, col))
     return (
-        F.when(kind.isin("pdf", "image"), F.format_string("page %d", page))
+        F.when(kind.isin("pdf", "image") & page.isNotNull(), F.format_string("page %d", page))
+        .when(kind == "picture", F.coalesce(where, F.lit("picture")))
         .when(kind == "para", F.format_string("paragraph %d", para))
         .when(kind == "cell", F.format_string("table row %d column %d", row, col))
         .when(kind.isin("header", "footer"), kind)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import re
+import zipfile
+from xml.sax.saxutils import escape
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import (
@@ -13,10 +18,13 @@ from ..operators import batches as B
 from ..operators import checks as C
 from ..operators import ledgers as L
 from ..operators.extract import rule_extract
-from ..sources.files import accept_paths, read_blocks, text_blocks
+from ..sources.blocks import block_source, document_blocks, new_file
+from ..sources.files import accept_paths, list_sources, read_blocks, text_blocks
+from ..sources.readers import Block, Reader
 from ..sources.store import latest, latest_export, replace_results, save_results, saved_results, scratch, verify, write_ledger
 from ..streaming.resume import resume_stream
 from .ledgers import contract_job, invoice_job, minutes_job
+from .rounds import ask_rounds, attempts, route_answers, run_rounds
 from .voucher import voucher_job
 
 QUERIES, ORACLE = {}, {}
@@ -447,6 +455,49 @@ def _(spark, d):
     return B.classify_attempts(t(spark, d, "events"), "user_id", "ts", "event_type", ("error",), ("purchase", "view", "click"), 15)
 
 
+@query("udf1_extract", "SELECT doc_id, 'ok' AS status, nullif(regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', 0), '') AS answer FROM documents")
+def _(spark, d):
+    """A service in Python asked about every text, two calls at once over all partitions."""
+
+    def mail(text: str) -> str | None:
+        found = re.search(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", text)
+        return found and found[0]
+
+    at = scratch(spark, "asked")
+    ask_rounds(t(spark, d, "documents").select("doc_id", "text"), ["doc_id"], at, mail, "text", unit=500)
+    return attempts(spark, at).select("doc_id", "status", "answer")
+
+
+_SCRIPT = """s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
+a AS (SELECT u.user_id, i AS try_no, CASE WHEN event_type <> 'error' THEN event_type END AS answer
+  FROM (SELECT DISTINCT user_id FROM events) AS u CROSS JOIN range(1, 4) AS r(i) LEFT JOIN s ON s.user_id = u.user_id AND t = i),
+f AS (SELECT user_id, min(try_no) FILTER (answer IS NOT NULL) AS first FROM a GROUP BY 1)"""
+
+
+def _asked_by_script(spark, d):
+    """Rounds in which a user's n-th event is the answer to the n-th try: an error is a temporary
+    failure, as is an event that isn't there."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    script = t(spark, d, "events").select("user_id", F.row_number().over(order).alias("try_no"), F.nullif("event_type", F.lit("error")).alias("answer"))
+
+    def asks(left: DataFrame) -> DataFrame:
+        status = F.when(F.col("answer").isNotNull(), "ok").otherwise("temporary")
+        return left.join(script, ["user_id", "try_no"], "left").select("user_id", "try_no", status.alias("status"), "answer", F.lit("busy").alias("cause"))
+
+    return run_rounds(t(spark, d, "events").select("user_id").distinct(), ["user_id"], scratch(spark, "rounds"), asks, 3)
+
+
+@query("udf3_attempts", f"WITH {_SCRIPT} SELECT a.user_id, CAST(try_no AS INTEGER) AS try_no, CASE WHEN answer IS NULL THEN 'temporary' ELSE 'ok' END AS status, answer, CAST(try_no AS INTEGER) AS round FROM a JOIN f ON a.user_id = f.user_id WHERE try_no <= coalesce(first, 3)")
+def _(spark, d):
+    return _asked_by_script(spark, d).select("user_id", "try_no", "status", "answer", "round")
+
+
+@query("udf3_retry_rounds", f"WITH {_SCRIPT} SELECT f.user_id, answer, CASE WHEN first IS NULL THEN 'no answer after 3 tries: busy' ELSE '' END AS reasons FROM f LEFT JOIN a ON a.user_id = f.user_id AND a.try_no = f.first")
+def _(spark, d):
+    out = route_answers(_asked_by_script(spark, d), ["user_id"], 3)
+    return out.select("user_id", "answer", F.array_join("reasons", ";").alias("reasons"))
+
+
 @query("udf2_block_reader", "SELECT doc_id AS file_id, CAST(i - 1 AS INTEGER) AS block_no, CAST(i AS INTEGER) AS para, string_split(text, chr(10))[i] AS text, 'read' AS status FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE lang <> 'es' UNION ALL SELECT doc_id, NULL, NULL, NULL, 'failed: ValueError' FROM documents WHERE lang = 'es'")
 def _(spark, d):
     """Texts as files: one kind has a reader that is plugged in, the other has none."""
@@ -460,6 +511,71 @@ def _(spark, d):
     return read_blocks(files, {"txt": lines}).select(F.col("file_id").cast("long").alias("file_id"), "block_no", "para", "text", "status")
 
 
+class PagedLines(Reader):
+    """Plain text whose pages end with a form feed: a part is a page's place in the file."""
+
+    def parts(self, file, size):
+        cuts, at = [0], 0
+        while piece := file.read(1 << 16):
+            cuts += [at + i + 1 for i, c in enumerate(piece) if c == 0x0C]
+            at += len(piece)
+        return [(n, a, b) for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], size], strict=True), 1)]
+
+    def read(self, file, part):
+        page, a, b = part
+        file.seek(a)
+        for line in file.read(b - a).decode().rstrip("\f").split("\n"):
+            yield Block("pdf", page=page, text=line)
+
+
+def _as_files(spark, d, at: str) -> None:
+    """Each text as a file in the shared folder: of one language with three lines a page, of the others as Word files."""
+
+    def write(batches):
+        for b in batches:
+            for i, text, lang in zip(b["doc_id"], b["text"], b["lang"], strict=True):
+                lines, raw = text.split("\n"), io.BytesIO()
+                if lang == "fr":
+                    raw.write("\f".join("\n".join(lines[k : k + 3]) for k in range(0, len(lines), 3)).encode())
+                else:
+                    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+                        paras = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines)
+                        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{paras}</w:body></w:document>')
+                with new_file(f"{at}/{i % 100}/{i}.{'pages' if lang == 'fr' else 'docx'}") as f:
+                    f.write(raw.getvalue())
+            yield b[["doc_id"]]
+
+    t(spark, d, "documents").select("doc_id", "text", "lang").where("text IS NOT NULL").mapInPandas(write, "doc_id long").agg(F.count("*")).collect()
+
+
+_BLOCKS = """SELECT doc_id, CAST(CASE WHEN lang = 'fr' THEN (i - 1) // 3 ELSE 0 END AS INTEGER) AS part, CAST(CASE WHEN lang = 'fr' THEN (i - 1) % 3 ELSE i - 1 END AS INTEGER) AS block_no,
+  CASE WHEN lang = 'fr' THEN concat('page ', (i - 1) // 3 + 1) ELSE concat('paragraph ', i) END AS position, string_split(text, chr(10))[i] AS text, 'read' AS status
+FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)"""
+
+
+def _shown(blocks: DataFrame) -> DataFrame:
+    place = format_location(*(F.col(c) for c in ("kind", "page", "para", "row", "col")))
+    return blocks.select(F.regexp_extract("file_id", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id"), "part", "block_no", place.alias("position"), "text", "status")
+
+
+@query("src2_document_blocks", _BLOCKS)
+def _(spark, d):
+    """Texts as Word files and as files with pages, read by the data source."""
+    at = scratch(spark, "files")
+    _as_files(spark, d, at)
+    spark.dataSource.register(block_source({"pages": PagedLines()}))
+    return _shown(spark.read.format("document_blocks").load(at))
+
+
+@query("udf2_read_parts", _BLOCKS)
+def _(spark, d):
+    """The same, listed by Spark and planned by tasks."""
+    at = scratch(spark, "files")
+    _as_files(spark, d, at)
+    return _shown(document_blocks(list_sources(spark, [at], ("docx", "pages")).select("path"), {"pages": PagedLines()}))
+
+
 @query("snk1_write_ledger", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'review' ELSE 'normal' END AS sheet FROM orders")
 def _(spark, d):
     rows, out = t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), scratch(spark, "ledger")

@@ -66,13 +66,14 @@ def docx_blocks(content: bytes) -> Iterator[tuple[str, int | None, int | None, i
                         yield "cell", None, r, c, words(cell)
         for name in sorted(z.namelist()):
             if name.startswith("word/media/"):
-                yield "image", None, None, None, name
+                yield "picture", None, None, None, name
 
 
 def block_reader(readers: dict[str, Callable[[bytes], Iterator[tuple]]] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For mapInPandas over (file_id, path, content). readers: by extension; .docx is built in,
-    readers of PDF and images are plugged in. A file that can't be opened, or has no reader,
-    gives one row with its cause as status."""
+    readers of PDF and images are plugged in: they give (kind, para, row, col, text), or with a
+    page (kind, page, para, row, col, text). A file that can't be opened, or has no reader,
+    gives one row with its cause as status. Files are held whole; sources.blocks reads them by parts."""
     own = {"docx": docx_blocks} | (readers or {})
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
@@ -84,7 +85,8 @@ def block_reader(readers: dict[str, Callable[[bytes], Iterator[tuple]]] | None =
                     ext = path.rsplit(".", 1)[-1].lower()
                     if ext not in own:
                         raise ValueError(f"no reader for .{ext}")
-                    rows = [(file_id, i, kind, None, para, row, col, text, "read") for i, (kind, para, row, col, text) in enumerate(own[ext](content))]
+                    found = (x if len(x) == 6 else (x[0], None, *x[1:]) for x in own[ext](content))
+                    rows = [(file_id, i, *x, "read") for i, x in enumerate(found)]
                 except Exception as e:  # the cause goes to the review table
                     rows = [(file_id, None, None, None, None, None, None, None, f"failed: {type(e).__name__}")]
                 out += rows

@@ -252,4 +252,4 @@ def test_tables_within_cells_and_images_are_read_once():
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{table(text('a') + table(text('b')))}</w:body></w:document>")
         z.writestr("word/media/image1.png", b"x")
-    assert list(docx_blocks(raw.getvalue())) == [("cell", None, 1, 1, "ab"), ("image", None, None, None, "word/media/image1.png")]
+    assert list(docx_blocks(raw.getvalue())) == [("cell", None, 1, 1, "ab"), ("picture", None, None, None, "word/media/image1.png")]
