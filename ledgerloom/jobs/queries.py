@@ -17,11 +17,12 @@ from ..functions.fragments import fragment_text, image_regions, neighbour_contex
 from ..operators import batches as B
 from ..operators import checks as C
 from ..operators import ledgers as L
+from ..operators.assembly import assemble, entries_of, retry_units
 from ..operators.extract import rule_extract
 from ..sources.blocks import block_source, document_blocks, new_file
 from ..sources.files import accept_paths, list_sources, read_blocks, text_blocks
 from ..sources.readers import Block, Reader
-from ..sources.store import latest, latest_export, replace_results, save_results, saved_results, scratch, verify, write_ledger
+from ..sources.store import latest, latest_export, replace_results, save_results, saved_results, scratch, verify, write_ledger, written
 from ..streaming.resume import resume_stream
 from .ledgers import contract_job, invoice_job, minutes_job
 from .rounds import ask_rounds, attempts, route_answers, run_rounds
@@ -311,6 +312,47 @@ def _(spark, d):
     return out.withColumn("content", F.array_join(shown, ";"))
 
 
+_CANDIDATES = """c AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS file_id, turn * 10 AS s, turn * 10 + 4 + length(text) % 24 AS e, role AS field, CAST(length(text) % 3 AS VARCHAR) AS value,
+  CASE WHEN length(text) % 4 > 0 THEN concat('K', conv_id) END AS no, CASE WHEN length(text) % 5 = 0 THEN concat('R', length(text) % 60) END AS ref FROM conversations),
+n AS (SELECT *, row_number() OVER (ORDER BY file_id, s, e, field, value, no, ref) AS id, no IS NOT NULL OR ref IS NOT NULL AS has FROM c),
+l AS (SELECT a.id AS p, b.id AS q FROM n AS a JOIN n AS b ON a.no = b.no UNION SELECT a.id, b.id FROM n AS a JOIN n AS b ON a.ref = b.ref UNION SELECT id, id FROM n
+  UNION SELECT a.id, b.id FROM n AS a JOIN n AS b ON a.file_id = b.file_id AND a.s < b.e AND b.s < a.e AND NOT a.has AND NOT b.has),
+r(p, q) AS (SELECT p, q FROM l UNION SELECT r.p, l.q FROM r JOIN l ON l.p = r.q),
+k AS (SELECT n.*, g FROM n JOIN (SELECT p AS id, min(q) AS g FROM r GROUP BY 1) AS x USING (id)),
+m AS (SELECT a.g, min(b.g) AS lo, max(b.g) AS hi FROM k AS a JOIN k AS b ON a.file_id = b.file_id AND a.s < b.e AND b.s < a.e AND NOT a.has AND b.has GROUP BY 1),
+d AS (SELECT k.*, CASE WHEN NOT has AND lo = hi THEN lo ELSE k.g END AS doc, has OR coalesce(lo = hi, false) AS keyed,
+  CASE WHEN has OR coalesce(lo = hi, false) THEN NULL WHEN lo IS NOT NULL THEN 'overlaps several documents' ELSE 'no business key' END AS reason FROM k LEFT JOIN m ON m.g = k.g)"""
+
+
+def _assembled(spark, d):
+    n = F.length("text")
+    rows = t(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("file_id"), (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + 4 + n % 24).alias("stop"), F.col("role").alias("field"), (n % 3).cast("string").alias("value"),
+        F.when(n % 4 > 0, F.concat(F.lit("K"), F.col("conv_id").cast("string"))).alias("no"), F.when(n % 5 == 0, F.concat(F.lit("R"), (n % 60).cast("string"))).alias("ref"),
+    )
+    return assemble(rows, ["no", "ref"], across_files=True)
+
+
+@query("agg9_documents", f"""WITH RECURSIVE {_CANDIDATES},
+el AS (SELECT a.id AS p, b.id AS q FROM d AS a JOIN d AS b ON a.doc = b.doc AND a.file_id = b.file_id AND a.field = b.field AND a.s < b.e AND b.s < a.e),
+er(p, q) AS (SELECT p, q FROM el UNION SELECT er.p, el.q FROM er JOIN el ON el.p = er.q),
+e AS (SELECT d.*, x.entry FROM d JOIN (SELECT p AS id, min(q) AS entry FROM er GROUP BY 1) AS x USING (id)),
+o AS (SELECT doc, count(*) AS n_candidates, min(file_id) AS first_file, count(DISTINCT file_id) AS n_files FROM d GROUP BY 1)
+SELECT min(file_id) AS file_id, min(field) AS field, min(s) AS start, max(e) AS stop, string_agg(DISTINCT value, '|' ORDER BY value) AS "values", count(*) AS n_met, min(value) <> max(value) AS conflict,
+  bool_and(keyed) AS keyed, min(reason) AS reason, min(n_candidates) AS n_candidates, min(first_file) AS first_file, min(n_files) AS n_files FROM e JOIN o USING (doc) GROUP BY doc, entry""")
+def _(spark, d):
+    """Candidates with two kinds of numbers, some with none, put together over conversations."""
+    found = written(_assembled(spark, d), "assembled")
+    whole = found.groupBy("document").agg(F.count("*").alias("n_candidates"), F.min("file_id").alias("first_file"), F.count_distinct("file_id").alias("n_files"))
+    return entries_of(found).withColumn("values", F.array_join("values", "|")).join(whole, "document").drop("document", "entry")
+
+
+@query("jn8_retry_units", f"""WITH RECURSIVE {_CANDIDATES}, fl AS (SELECT DISTINCT a.file_id AS p, b.file_id AS q FROM d AS a JOIN d AS b ON a.doc = b.doc),
+fr(p, q) AS (SELECT p, q FROM fl UNION SELECT fr.p, fl.q FROM fr JOIN fl ON fl.p = fr.q) SELECT p AS file_id, min(q) AS unit FROM fr GROUP BY 1""")
+def _(spark, d):
+    return retry_units(written(_assembled(spark, d), "assembled"))
+
+
 @query("win1_dedupe_content", "SELECT doc_id, first AS kept_as FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE doc_id <> first")
 def _(spark, d):
     files = t(spark, d, "documents").select(content_hash(F.col("text")).alias("sha"), "doc_id")
