@@ -23,6 +23,7 @@ from ..sources.blocks import block_source, document_blocks, new_file
 from ..sources.files import accept_paths, list_sources, read_blocks, text_blocks
 from ..sources.readers import Block, Reader
 from ..sources.store import latest, latest_export, replace_results, save_results, saved_results, scratch, verify, write_ledger, written
+from ..streaming.intake import ROCKS, intake_results, intake_stream
 from ..streaming.resume import resume_stream
 from .ledgers import contract_job, invoice_job, minutes_job
 from .rounds import ask_rounds, attempts, route_answers, run_rounds
@@ -648,3 +649,23 @@ def _(spark, d):
     take()
     take()
     return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type")
+
+
+@query("str1_intake", """WITH v AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS seq, concat(event_type, ' ', CAST(floor(value) AS BIGINT)) AS text FROM events),
+l AS (SELECT path, arg_max(text, seq) AS text FROM v GROUP BY 1) SELECT min(path) AS path, count(*) AS n_paths, upper(text) AS found FROM l GROUP BY text""")
+def _(spark, d):
+    """Users as files whose contents change with each event: errors arrive first, whatever their
+    time, then the others, then all once more. Each content is worked on once."""
+    at, key = scratch(spark, "intake"), "spark.sql.streaming.stateStore.providerClass"
+    text = F.concat("event_type", F.lit(" "), F.floor("value").cast("string"))
+    rows = t(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), content_hash(text).alias("sha"), F.col("event_id").alias("seq"), text.alias("text"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        for part in (rows.where("text LIKE 'error%'"), rows.where("text NOT LIKE 'error%'"), rows):
+            part.coalesce(2).write.mode("append").parquet(f"{at}/in")
+            arrivals = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+            intake_stream(arrivals, f"{at}/store", f"{at}/mark", "b", lambda x: x.select("file_id", F.upper("text").alias("found")), 4).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return intake_results(spark, f"{at}/store", "b").select("path", "n_paths", "found")
