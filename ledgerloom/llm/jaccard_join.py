@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded, settle, small_batches
+from .shared import bounded, forget_shuffles, settle, small_batches
 from .textcore import mix, pieces, window_hash, words_of
 
 RATIO = 1.4  # sizes of a bucket scheme: up to this times its smallest
@@ -91,9 +91,11 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
     own = _class_of(size)
     doc = np.repeat(np.arange(len(size)), size)
     out_doc, out_key = [], []
-    # a partner is up to den/num times larger, so it may be of the next scheme
+    # a partner is up to den/num times larger, so it may be of a later scheme: the larger of two sets
+    # is listed under its own, the smaller under all up to that of its largest partner
     over = _class_of(size * den // num)
-    for scheme, use in ((own, size > 0), (over, over > own)):
+    for further in range(int((over - own).max(initial=0)) + 1):
+        scheme, use = own + further, over >= own + further
         top = np.ceil(RATIO ** (scheme + 1) + 1).astype(np.int64)
         k = 2 * top * (den - num) // (den + num)
         use = use & (k > 0) & (size > 0)
@@ -260,6 +262,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     # aggregated before the shuffle, so a bucket of very many sets is no load for one task
     shared = each.groupBy("key").agg(F.min("k").alias("lead"), F.max("k").alias("last")).where("lead <> last").select("key", "lead")
     listed = settle(each.join(bounded(shared, "shared", MOST), "key").distinct(), "buckets")
+    forget_shuffles(rows.sparkSession)
     group = listed.groupBy("k").agg(F.min("lead").alias("g"))
     of = listed.select("key", "k").join(group, "k").join(classes.select("k", "size"), "k")
     span = [F.min("size").alias("lo"), F.max("size").alias("hi")]
@@ -269,6 +272,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     asked = asked.groupBy("k", "g").agg(F.count("*").alias("n")).where("n > 1").select("k", "g")
     cells = asked.join(group.withColumn("own", F.lit(1)), ["k", "g"], "left").select("k", "g", F.col("own").isNotNull().alias("own"))
     cells = settle(cells.join(classes.select("k", "size"), "k"), "cells")
+    forget_shuffles(rows.sparkSession)
     # the one text from which a set's tokens are taken
     needed = classes.join(cells.select("k").distinct(), "k", "left_semi").select("at.id", "at.copy")
     needed = bounded(needed, "needed", MOST)
@@ -276,6 +280,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     lead = cells.where("k = g").select("g", F.lit(0).alias("part"), "k", "size")
     first = _linked(lead, cells.where("own and k <> g").select("g", F.lit(0).alias("part"), "k", "size"), tokens, num, den)
     label = settle(components(first), "joined")
+    forget_shuffles(rows.sparkSession)
     name = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
     rest = cells.join(name("k"), "k", "left").join(name("g"), "g", "left")
     inside = F.coalesce("k_of", "k") == F.coalesce("g_of", "g")
@@ -287,6 +292,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     at = of.join(holds.select("k", "g", "part"), ["k", "g"]).groupBy("key", "g", "part").agg(*span)
     asks = of.select("key", "k", "size").join(at, "key").where(fits).groupBy("k", "g", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     asks = asks.join(rest.select("k", "g", "size", "inside"), ["k", "g"]).where("part = 1 or not inside").drop("inside")
+    forget_shuffles(rows.sparkSession)
     more = _linked(holds, asks, tokens, num, den)
     if more.isEmpty():
         joined = label

@@ -66,6 +66,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that have been written down: it does so once the
+    driver's JVM has collected the plans, which by itself may take as long as the whole job."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
     """df, written down, and marked for a broadcast if it has no more than so many rows: of a
     table with a few rows a language, say, whose number of languages isn't known beforehand."""
