@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import packed
+from .positions import given_back, placed
+
 
 def fragment_text(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 100) -> DataFrame:
     """A row for each piece of at most size characters: frag_no, start, fragment and all
@@ -24,36 +23,30 @@ def fragment_text(df: DataFrame, text: str = "text", size: int = 1000, overlap:
 
 
 def pack_blocks(df: DataFrame, file: str, block_no: str, text: str, size: int) -> DataFrame:
-    """df with frag_no: blocks in order fill a fragment until the next one would exceed size;
-    a block longer than size has a fragment of its own. A file's lengths (not its texts) are
-    read one after another in block order; a task holds one batch of them, however long a
-    file is."""
-    kinds = dict(df.dtypes)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, frag, used = object(), 0, 0
-        for b in batches:
-            out = np.empty(len(b), np.int32)
-            for i, (own, n) in enumerate(zip(b["f"].tolist(), b["n"].tolist(), strict=True)):
-                if own != at and not (pd.isna(own) and pd.isna(at)):
-                    at, frag, used = own, 0, 0
-                elif used and used + n > size:
-                    frag, used = frag + 1, 0
-                used += n
-                out[i] = frag
-            yield pd.DataFrame({"f": b["f"], "b": b["b"], "frag_no": out})
-
-    lengths = df.select(F.col(file).alias("f"), F.col(block_no).alias("b"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
-    placed = lengths.repartition("f").sortWithinPartitions("f", "b").mapInPandas(fill, f"f {kinds[file]}, b {kinds[block_no]}, frag_no int")
-    same = F.col("f").eqNullSafe(df[file]) & F.col("b").eqNullSafe(df[block_no])
-    return df.join(placed, same).drop("f", "b")
+    """df with frag_no: blocks in order fill a fragment until the next one would exceed size; a
+    block longer than size has a fragment of its own, with empty blocks before it. Blocks of one
+    number are in the order of a hash of their rows. Lengths alone are sorted, in parts that
+    may begin in the middle of a file, so a file of any length is packed by all tasks."""
+    places = placed(df, [file, block_no], n=F.coalesce(F.length(text), F.lit(0)).cast("long"))
+    return given_back(df, [file, block_no], packed(places, size), ["frag_no"])
 
 
 def neighbour_context(df: DataFrame, file: str, order: str, text: str, n: int) -> DataFrame:
     """df with before and after: the last n characters of the piece before, the first n of the
-    one after (null at the file's ends)."""
-    w = Window.partitionBy(file).orderBy(order)
-    return df.withColumn("before", F.right(F.lag(text).over(w), F.lit(n))).withColumn("after", F.left(F.lead(text).over(w), F.lit(n)))
+    one after (null at the file's ends). Pieces of one place are in the order of a hash of their
+    rows. Keys and these characters alone are sorted, in parts that may begin in the middle
+    of a file; of each part its first and last row are shown to its neighbours."""
+    places = placed(df, [file, order], head=F.left(text, F.lit(n)), tail=F.right(text, F.lit(n)))
+    at = F.struct("k0", "k1", "h", "occ")
+    first, last = F.struct("k0", F.col("head").alias("x")), F.struct("k0", F.col("tail").alias("x"))
+    ends = places.groupBy("part").agg(F.min_by(first, at).alias("first"), F.max_by(last, at).alias("last"))
+    parts = Window.orderBy("part")  # a row a part
+    ends = ends.select("part", F.lag("last").over(parts).alias("last"), F.lead("first").over(parts).alias("first"))
+    own = Window.partitionBy("part").orderBy("k0", "k1", "h", "occ")
+    near = places.select("*", F.lag(last).over(own).alias("a"), F.lead(first).over(own).alias("z")).join(F.broadcast(ends), "part")
+    near = near.withColumn("a", F.coalesce("a", "last")).withColumn("z", F.coalesce("z", "first"))
+    found = near.select("k0", "k1", "h", *(F.when(F.col(c)["k0"].eqNullSafe(F.col("k0")) & F.col(c).isNotNull(), F.col(c)["x"]).alias(name) for c, name in (("a", "before"), ("z", "after"))))
+    return given_back(df, [file, order], found, ["before", "after"])
 
 
 def image_regions(df: DataFrame, width: str, height: str, tile: int, overlap: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.positions import given_back, placed
+
 #: Fields of a ledger without a template, by type of document.
 DEFAULT_FIELDS = {
     "invoice": ("invoice_no", "taxpayer_no", "currency", "unit", "total", "items"),
@@ -69,19 +71,19 @@ def latest_result(attempts: DataFrame, file: str, order: str, cols: list[str]) -
 def row_positions(df: DataFrame, order: list[str], start: int = 1, n: int | None = None) -> DataFrame:
     """df with row_no: start plus each row's place in the order of all rows.
 
-    Rows are range-partitioned; places come from the counts of partitions (one row each) and
-    a row number within each partition, so no task sees all rows. order must tell rows apart,
-    or equal rows may change places.
+    Keys are range-partitioned and written down; places come from the counts of partitions (one row
+    each) and a row number within each partition, so no task sees all rows. Rows equal in order
+    are in the order of a hash of their columns.
     """
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
-    ranged = hashed.repartitionByRange(n, *order, "_h").withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order, "_h"))
-    out = ranged.withColumn("_rn", within).join(F.broadcast(bases), "_p")
-    return out.withColumn("row_no", F.col("_base") + F.col("_rn") - 1 + start).select(*df.columns, "row_no")
+    keys = [f"k{i}" for i in range(len(order))]
+    places = placed(df, order, n)
+    sizes = places.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*keys, "h", "occ"))
+    found = places.withColumn("rn", within).join(F.broadcast(bases), "part")
+    found = found.select(*keys, "h", (F.col("base") + F.col("rn") - 1 + start).alias("row_no"))
+    return given_back(df, order, found, ["row_no"])
 
 
 def source_order(df: DataFrame, order: list[str]) -> DataFrame:
