@@ -19,12 +19,15 @@ from ..operators import checks as C
 from ..operators import ledgers as L
 from ..operators.assembly import assemble, entries_of, retry_units
 from ..operators.extract import rule_extract
+from ..operators.sheets import cut_sheets
 from ..sources.blocks import block_source, document_blocks, new_file
+from ..sources.difference import differences
 from ..sources.files import accept_paths, list_sources, read_blocks, text_blocks
 from ..sources.readers import Block, Reader
 from ..sources.store import latest, latest_export, replace_results, save_results, saved_results, scratch, verify, write_ledger, written
 from ..streaming.intake import ROCKS, intake_results, intake_stream
 from ..streaming.resume import resume_stream
+from .export import export_job
 from .ledgers import contract_job, invoice_job, minutes_job
 from .rounds import ask_rounds, attempts, route_answers, run_rounds
 from .voucher import voucher_job
@@ -626,6 +629,42 @@ def _(spark, d):
     return B.full_batch_view(latest_export(spark, out).drop("run_id"), latest_export(spark, out, "review").drop("run_id"))
 
 
+@query("snk3_differences", """SELECT 'expected' AS side, o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT 'actual', o_orderkey, o_custkey + 1, o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'""")
+def _(spark, d):
+    """A table is written with rows that were changed or left out, read back, and these are named."""
+    rows, at = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), scratch(spark, "damaged")
+    wrong = F.col("o_orderstatus") == "P"
+    damaged = rows.where(~wrong | (F.col("o_orderpriority") != "5-LOW")).withColumn("o_custkey", F.when(wrong, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    damaged.write.parquet(at)
+    return differences(rows, spark.read.parquet(at), ["o_orderkey"]).select("side", "o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("win5_cut_sheets", """WITH RECURSIVE v AS (SELECT o_custkey, count(*) AS n, min(struct_pack(a := o_orderdate, b := o_orderkey)) AS f FROM orders GROUP BY 1),
+i AS (SELECT *, row_number() OVER (ORDER BY f) AS i FROM v),
+s AS (SELECT i, 1 AS sheet, n AS used, CAST(0 AS BIGINT) AS base FROM i WHERE i = 1 UNION ALL
+SELECT i.i, CASE WHEN used + n > 60 THEN sheet + 1 ELSE sheet END, CASE WHEN used + n > 60 THEN n ELSE used + n END, CASE WHEN used + n > 60 THEN 0 ELSE used END FROM s JOIN i ON i.i = s.i + 1)
+SELECT o_orderkey, o.o_custkey, CAST(sheet AS INTEGER) AS sheet_no, base + 4 + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderdate, o_orderkey) AS row_no
+FROM orders AS o JOIN i ON i.o_custkey = o.o_custkey JOIN s ON s.i = i.i""")
+def _(spark, d):
+    """A customer's orders as a voucher, sheets of 60 rows from row 5 on."""
+    rows = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return cut_sheets(rows, "o_custkey", ["o_orderdate", "o_orderkey"], 60, 5).drop("o_orderdate")
+
+
+@query("snk1_export_job", """SELECT CASE WHEN o_orderstatus = 'P' THEN 'review' ELSE 'normal' END AS sheet, CAST((k - 1) // 1000 + 1 AS INTEGER) AS sheet_no, (k - 1) % 1000 + 2 AS row_no,
+  CAST(o_orderkey AS VARCHAR) AS contract, CAST(NULL AS VARCHAR) AS gap_2, CAST(o_custkey AS VARCHAR) AS party, concat('order ', o_orderkey) AS source_file,
+  CASE WHEN o_orderstatus = 'P' THEN 'pending' END AS review_reason
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey) AS k FROM orders)""")
+def _(spark, d):
+    """Orders in a template's columns, on sheets of 1,000 rows, checked, written and read back."""
+    fields = F.create_map(F.lit("contract"), F.col("o_orderkey").cast("string"), F.lit("party"), F.col("o_custkey").cast("string"))
+    rows = t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", fields.alias("fields"), F.format_string("order %d", "o_orderkey").alias("source_file"))
+    pending, out = F.col("o_orderstatus") == "P", scratch(spark, "export")
+    export_job(rows.where(~pending), rows.where(pending).withColumn("review_reason", F.lit("pending")), ["contract", None, "party"], "o_orderkey", ["o_orderdate", "o_orderkey"], out, "1", 1000)
+    return B.full_batch_view(latest_export(spark, out).drop("run_id"), latest_export(spark, out, "review").drop("run_id"))
+
+
 @query("snk2_save_results", """SELECT o_orderpriority AS batch_id, o_orderkey AS file_id, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS attempt FROM orders WHERE o_orderstatus <> 'P' OR o_custkey % 2 = 0""")
 def _(spark, d):
     rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("batch_id"), F.col("o_orderkey").alias("file_id"), "o_custkey", "o_orderstatus")
