@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,50 @@ def parse_response(answer: Column, schema: str, required: tuple[str, ...]) -> Co
     return F.get(F.transform(F.array(parsed), judged), F.lit(0))
 
 
+def whole_elements(answer: Column, key: str) -> Column:
+    """STRUCT<elements ARRAY<STRING>, ended BOOLEAN>: the objects that stand whole in the first array
+    of an answer, or in that under the key where the answer is an object; whether the array's end
+    is there. Text around the JSON does no harm; brackets within strings don't count. Null without
+    such an array."""
+    # up to the array's own bracket; of what stands before, only the kind of the first bracket matters
+    first = F.regexp_extract(answer, r"[\[{]", 0)
+    array = F.when(first == "[", F.regexp_extract(answer, r"(?s)\[.*", 0)).otherwise(F.regexp_extract(answer, f'(?s)"{re.escape(key)}"\\s*:\\s*(\\[.*)', 1))
+    # strings (the last may be broken off), brackets, and what lies between: together the whole text
+    tokens = F.regexp_extract_all(array, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"?|[{}\[\]]|[^"{}\[\]]++'), F.lit(0))
+    none = F.array().cast("array<struct<a:int,n:int>>")
+    begin = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(False).alias("ended"), none.alias("cuts"))
+
+    def read(was: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        depth = was["depth"] + F.when(was["ended"], 0).when(opens, 1).when(closes, -1).otherwise(0)
+        whole = ~was["ended"] & (token == "}") & (depth == 1)
+        cut = F.array(F.struct(was["start"].alias("a"), (was["at"] + 1 - was["start"]).alias("n")))
+        return F.struct(
+            (was["at"] + F.length(token)).alias("at"), depth.alias("depth"), F.when((token == "{") & (was["depth"] == 1), was["at"]).otherwise(was["start"]).alias("start"),
+            (was["ended"] | (closes & (depth == 0))).alias("ended"), F.when(whole, F.concat(was["cuts"], cut)).otherwise(was["cuts"]).alias("cuts"),
+        )
+
+    def cut(text: Column) -> Column:
+        found = F.aggregate(tokens, begin, read, lambda x: F.struct(x["cuts"].alias("cuts"), x["ended"].alias("ended")))
+        return F.get(F.transform(F.array(found), lambda x: F.struct(F.transform(x["cuts"], lambda c: F.substring(text, c["a"], c["n"])).alias("elements"), x["ended"].alias("ended"))), F.lit(0))
+
+    return F.when(F.length(array) > 0, cut(array))
+
+
+def salvage_response(answer: Column, schema: str, required: tuple[str, ...], key: str = "candidates") -> Column:
+    """STRUCT<candidates ARRAY<STRUCT<value, reasons>>, reasons>: every candidate that stands whole
+    in an answer, each by schema (DDL) and with what is broken or missing in it (see parse_response),
+    and reasons of the answer itself: it was broken off, or has no array of candidates."""
+
+    def judged(found: Column) -> Column:
+        candidates = F.transform(found["elements"], lambda x: parse_response(F.when(F.try_parse_json(x).isNotNull(), x), schema, required))
+        n = F.size(found["elements"]).cast("string")
+        reason = F.when(found.isNull(), F.lit("unreadable answer")).when(~found["ended"], F.concat(F.lit("answer broken off after "), n, F.lit(" whole candidates")))
+        return F.struct(F.coalesce(candidates, F.filter(F.transform(F.array(F.lit("{}")), lambda x: parse_response(x, schema, required)), lambda _: F.lit(False))).alias("candidates"), F.array_compact(F.array(reason)).alias("reasons"))
+
+    return F.get(F.transform(F.array(whole_elements(answer, key)), judged), F.lit(0))
+
+
 def config_fingerprint(**conditions: Column) -> Column:
     """Identity of what a batch runs under. An access key is no condition and can't be passed."""
     if "access_key" in conditions:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import (
-    as_identifier, blank_status, cell_lines, config_fingerprint, content_hash, field_lookup, format_location, parse_amount, parse_response, stated_date,
+    as_identifier, blank_status, cell_lines, config_fingerprint, content_hash, field_lookup, format_location, parse_amount, parse_response, salvage_response, stated_date,
 )
 from ..functions.fragments import fragment_text, image_regions, neighbour_context, pack_blocks
 from ..operators import batches as B
@@ -472,6 +472,21 @@ def _(spark, d):
     return out.select("event_id", F.col("r.value.k").alias("k"), F.array_join("r.reasons", ";").alias("reasons"))
 
 
+@query("fn10_salvage_response", """WITH e AS (SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, length(concat('{"id": ', event_id, ', "k": ', json_extract(props, '$.k'), '}')) AS n FROM events),
+p AS (SELECT *, 16 + sum(n) OVER w + 2 * (row_number() OVER w - 1) AS stop, 16 + sum(n) OVER (PARTITION BY user_id) + 2 * count(*) OVER (PARTITION BY user_id) AS whole FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+u AS (SELECT user_id, whole, count(*) FILTER (stop <= whole - user_id % 40) AS n_whole, CAST(sum(k) FILTER (stop <= whole - user_id % 40) AS BIGINT) AS k FROM p GROUP BY 1, 2)
+SELECT user_id, n_whole, k, CASE WHEN user_id % 40 > 1 THEN concat('answer broken off after ', n_whole, ' whole candidates') ELSE '' END AS reasons FROM u""")
+def _(spark, d):
+    """A user's events as one answer, of which up to 39 characters are lost at the end."""
+    item = F.format_string('{"id": %d, "k": %s}', "event_id", F.get_json_object("props", "$.k"))
+    items = t(spark, d, "events").select("user_id", "event_id", item.alias("item")).groupBy("user_id").agg(L.ordered(["event_id"], ["item"]).alias("x"))
+    whole = F.concat(F.lit('{"candidates": ['), F.array_join(F.transform("x", lambda x: x["item"]), ", "), F.lit("]}"))
+    answer = F.substring(whole, F.lit(1), (F.length(whole) - F.col("user_id") % 40).cast("int"))
+    out = items.select("user_id", salvage_response(answer, "id BIGINT, k BIGINT", ("id",)).alias("r"))
+    k = F.transform("r.candidates", lambda c: c["value"]["k"])
+    return out.select("user_id", F.size("r.candidates").cast("long").alias("n_whole"), F.when(F.size(k) > 0, F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x)).alias("k"), F.array_join("r.reasons", ";").alias("reasons"))
+
+
 @query("fn11_config_fingerprint", "SELECT n_nationkey, sha256('{\"model\":\"' || n_name || '\",\"region\":\"' || n_regionkey || '\"}') AS fingerprint FROM nation")
 def _(spark, d):
     return t(spark, d, "nation").select("n_nationkey", config_fingerprint(region=F.col("n_regionkey"), model=F.col("n_name")).alias("fingerprint"))
