@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 
 def voucher_balance(entries: DataFrame, keys: list[str], debit: str, credit: str, tol: str = "0") -> DataFrame:
-    """Debit and credit totals of each voucher, currency and unit (keys); never across those."""
-    sums = entries.groupBy(*keys).agg(F.coalesce(F.sum(debit), F.lit(0)).alias("debit"), F.coalesce(F.sum(credit), F.lit(0)).alias("credit"))
+    """Debit and credit totals of each voucher, currency and unit (keys, the voucher's first); never
+    across those. Entries without a voucher are of none together, and have no balance."""
+    known = entries.where(F.col(keys[0]).isNotNull())
+    sums = known.groupBy(*keys).agg(F.coalesce(F.sum(debit), F.lit(0)).alias("debit"), F.coalesce(F.sum(credit), F.lit(0)).alias("credit"))
     diff = F.col("debit") - F.col("credit")
     return sums.withColumn("diff", diff).withColumn("balanced", F.abs(diff) <= F.lit(tol).cast("decimal(18,2)"))
 
 
 def header_conflict(entries: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """(key, field, values) for each header field with more than one value, in one aggregation
-    by key (partial sets are merged before the shuffle)."""
-    sets = entries.groupBy(key).agg(*(F.collect_set(F.col(c).cast("string")).alias(c) for c in cols))
-    found = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in cols))
-    bad = sets.select(key, F.explode(F.filter(found, lambda x: F.size(x["v"]) > 1)).alias("x"))
-    return bad.select(key, "x.field", F.array_join(F.sort_array("x.v"), ",").alias("values"))
+    """(key, field, values) for each header field with more than one value; nulls are no values,
+    and entries without a key contradict nothing. The smallest and the largest value tell which
+    are in conflict; sets are made for those alone."""
+    known = entries.where(F.col(key).isNotNull()).select(key, *(F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)))
+    ends = known.groupBy(key).agg(*(f(f"v{i}").alias(f"{n}{i}") for i in range(len(cols)) for f, n in ((F.min, "a"), (F.max, "z"))))
+    differ = F.array_compact(F.array(*(F.when(F.col(f"a{i}") != F.col(f"z{i}"), F.lit(i)) for i in range(len(cols)))))
+    bad = ends.select(key, differ.alias("bad")).where(F.size("bad") > 0)
+    values = F.array(*(F.col(f"v{i}") for i in range(len(cols))))
+    each = known.join(bad, key).select(key, F.explode(F.transform("bad", lambda i: F.struct(F.get(F.array(*map(F.lit, cols)), i).alias("field"), F.get(values, i).alias("v")))).alias("x"))
+    return each.groupBy(key, "x.field").agg(F.array_join(F.sort_array(F.collect_set("x.v")), ",").alias("values"))
 
 
 def amount_relation(items: DataFrame, headers: DataFrame, key: str, amount: str, total: str, tol: str = "0", quantity: str | None = None, price: str | None = None) -> DataFrame:

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.positions import row_hash
+
+
+def one_header(headers: DataFrame, key: str) -> DataFrame:
+    """headers with one row for each key (that of the smallest hash) and header_differs: whether
+    rows of the key contradict each other. Headers without a key are left out."""
+    rest = [c for c in headers.columns if c != key]
+    own = headers.where(F.col(key).isNotNull()).select(key, F.struct(*rest).alias("row"), row_hash(headers).alias("h"))
+    one = own.groupBy(key).agg(F.min_by("row", "h").alias("row"), (F.min("h") != F.max("h")).alias("header_differs"))
+    return one.select(key, *(F.col("row")[c].alias(c) for c in rest), "header_differs")
+
 
 def voucher_ledger(headers: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """A row for each entry with its voucher's header values and header_found; no summary row. An
-    entry without a header, or without a key, stays, its header values null."""
-    heads = headers.withColumn("header_found", F.lit(True))
+    entry without a header, or without a key, stays, its header values null. Several headers of
+    one key make no more rows (see one_header)."""
+    heads = one_header(headers, key).drop("header_differs").withColumn("header_found", F.lit(True))
     return entries.join(heads, key, "left").withColumn("header_found", F.coalesce("header_found", F.lit(False)))
 
 

@@ -45,6 +45,16 @@ def test_header_conflict_goes_to_review(spark):
     assert {r.route for r in out} == {"review"} and list(out[0].reasons) == ["conflict in org"]
 
 
+def test_entries_without_a_key_and_several_headers(spark):
+    e = entry(spark, *[(None, i, str(i), "X", "元", "5", None) for i in range(50)], ("1", 1, "a", "X", "元", "5", "5"), ("1", 2, "a", "X", "元", "5", "5"), ("2", 1, "a", "X", "元", "5", "5"))
+    heads = spark.createDataFrame([("1", "h"), ("1", "other"), ("2", "h"), ("2", "h"), (None, "x")], "v string, head string")
+    out = voucher_job(heads, e, "v", ["org"]).collect()
+    assert len(out) == 53 and {(r.v, r.route, *r.reasons) for r in out} == {(None, "review", "no header"), ("1", "review", "several headers"), ("2", "normal")}
+    assert L.voucher_ledger(heads, e, "v").count() == 53
+    assert {r.v for r in C.voucher_balance(e, ["v", "currency", "unit"], "debit", "credit").collect()} == {"1", "2"}
+    assert C.header_conflict(e, "v", ["org", "seq"]).collect() == [("1", "seq", "1,2")]
+
+
 def test_minutes(spark):
     topics = spark.createDataFrame([(1,), (2,)], "topic int")
     todos = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], "topic int, task string, owner string")
