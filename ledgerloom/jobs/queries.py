@@ -20,6 +20,7 @@ from ..operators import ledgers as L
 from ..operators.assembly import assemble, entries_of, retry_units
 from ..operators.extract import rule_extract
 from ..operators.sheets import cut_sheets
+from ..operators.template_sql import register_fill_template
 from ..sources.blocks import block_source, document_blocks, new_file
 from ..sources.difference import differences
 from ..sources.files import accept_paths, list_sources, read_blocks, text_blocks
@@ -114,6 +115,14 @@ def _(spark, d):
     return B.template_fields(p, ["name", "brand", None, "size"])
 
 
+@query("prj2_fill_template", "SELECT p_partkey, p_name AS name, p_brand AS brand, CAST(NULL AS VARCHAR) AS gap_3, CAST(p_size AS VARCHAR) AS size FROM part")
+def _(spark, d):
+    """The same by the table function of SQL."""
+    register_fill_template(spark)
+    t(spark, d, "part").select("p_partkey", F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand")).alias("fields")).createOrReplaceTempView("template_rows")
+    return spark.sql("SELECT * FROM fill_template(TABLE(template_rows), header => array('name', 'brand', NULL, 'size'))")
+
+
 @query("prj3_with_provenance", "SELECT l_orderkey, l_partkey, l_linenumber, concat('order ', l_orderkey) AS source_file, concat('line ', l_linenumber) AS source_position, l_linenumber AS item_no, CASE WHEN l_discount = 0 THEN 'no discount stated' END AS note FROM lineitem")
 def _(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount")
