@@ -3,13 +3,14 @@
 1. Each text becomes the set of its distinct word n-grams (64-bit hashes). Texts with equal
    sets form one class; all that follows works on classes.
 2. Candidates: at a Jaccard similarity of t or more, two sets of sizes up to s differ in at
-   most k = (1-t)/(1+t) * 2s tokens. Tokens are dealt to k + 2 buckets and some spare ones by
-   hash, so at least two buckets that aren't empty agree, or both sets leave more buckets empty
-   than there are spare ones. A class is listed under the hash of each bucket; a bucket of a near
-   copy agrees as a whole, so a frequent passage alone makes no hot entry. (Classes with too many
-   empty buckets are listed together.)
+   most k = (1-t)/(1+t) * 2s tokens. Tokens are dealt by hash to k buckets, some spare ones and
+   `need` more (a sixteenth of these, and two), so at least `need` buckets that aren't empty
+   agree, or both sets leave more buckets empty than there are spare ones. A class is listed under
+   the hash of each bucket; a bucket of a near copy agrees as a whole, so a frequent passage alone
+   makes no hot entry. (Classes with too many empty buckets are listed together.)
 3. Similar classes are partitioned into groups (by the smallest class they share a bucket
-   with, the group's lead). A class queries each group in whose buckets it is twice. Members are compared with their lead first; what these links join needs no more
+   with, the group's lead). A class queries each group in `need` of whose buckets it is. Members
+   are compared with their lead first; what these links join needs no more
    comparison within the lead's component, so a group of very many near copies is done. Then
    members outside the lead's component meet all queries, and members in it the queries
    outside it. Large groups are split into blocks, so a cell (block of a group, block of
@@ -43,6 +44,7 @@ TOKENS = 1 << 18  # tokens of a cell's members, or queries, in the mean at most
 ROWS = 32  # members of a row group
 MOST = 2_000_000  # rows (of two numbers) of a table that is broadcast; a larger one is joined by a shuffle
 LAST = 2**63 - 1
+ENOUGH = 1 << 20  # what the weights of the buckets that a pair has to agree in add up to
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,23 +76,25 @@ def _class_of(size: np.ndarray) -> np.ndarray:
 
 
 @lru_cache
-def _spare(scheme: int, top: int, k: int) -> int:
-    """How many buckets of the scheme's smallest sets may be empty."""
+def _buckets(scheme: int, top: int, k: int) -> tuple[int, int, int]:
+    """(buckets, how many of them may be empty, in how many at least near sets agree) of a scheme."""
     least, spare = max(1.0, RATIO**scheme), 1
-    while (m := k + 2 + spare) < 40 * top:
+    while True:
+        need = 2 + (k + spare) // 16
+        m = k + need + spare
         empty = m * exp(-least / m)
-        if empty + 4 * sqrt(empty) + 1 <= spare:
-            break
+        if empty + 4 * sqrt(empty) + 1 <= spare or m >= 40 * top:
+            return m, spare, need
         spare += 1 + spare // 50
-    return spare
 
 
-def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of each bucket under which a set is listed, for similarity num/den."""
+def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, key, weight) of each bucket under which a set is listed, for similarity
+    num/den: the weights of the keys that two near sets have in common add up to ENOUGH."""
     size = np.diff(first)
     own = _class_of(size)
     doc = np.repeat(np.arange(len(size)), size)
-    out_doc, out_key = [], []
+    out_doc, out_key, out_weight = [], [], []
     # a partner is up to den/num times larger, so it may be of a later scheme: the larger of two sets
     # is listed under its own, the smaller under all up to that of its largest partner
     over = _class_of(size * den // num)
@@ -99,8 +103,8 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         top = np.ceil(RATIO ** (scheme + 1) + 1).astype(np.int64)
         k = 2 * top * (den - num) // (den + num)
         use = use & (k > 0) & (size > 0)
-        spare = np.array([_spare(int(s), int(t), int(x)) for s, t, x in zip(scheme, top, k, strict=True)], np.int64)
-        m = np.where(use, k + 2 + spare, 0)
+        sizes = np.array([_buckets(int(s), int(t), int(x)) if u else (0, 0, 1) for s, t, x, u in zip(scheme, top, k, use, strict=True)], np.int64).reshape(-1, 3)
+        m, spare, need = sizes[:, 0], sizes[:, 1], sizes[:, 2]
         base = np.cumsum(m) - m
         mine = use[doc]
         d, x = doc[mine], h[mine]
@@ -113,11 +117,12 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         place = (slot[head] - base[of]).astype(np.uint64)
         out_doc.append(of)
         out_key.append(mix(total + mix((scheme[of].astype(np.uint64) << np.uint64(40)) + place + np.uint64(1))))
+        out_weight.append(-(-ENOUGH // need[of]))
         scarce = np.flatnonzero(use & (m - np.bincount(of, minlength=len(m)) > spare))
-        for i in (60, 61):  # two keys, as two are asked for
-            out_doc.append(scarce)
-            out_key.append(mix(scheme[scarce].astype(np.uint64) + np.uint64(1 << i)))
-    return np.concatenate(out_doc), np.concatenate(out_key).view(np.int64)
+        out_doc.append(scarce)
+        out_key.append(mix(scheme[scarce].astype(np.uint64) + np.uint64(1 << 60)))
+        out_weight.append(np.full(len(scarce), ENOUGH, np.int64))
+    return np.concatenate(out_doc), np.concatenate(out_key).view(np.int64), np.concatenate(out_weight).astype(np.int32)
 
 
 def links_of(members: list[np.ndarray], queries: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -247,8 +252,8 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
             fresh &= (size > 0) & ~np.isin(own, seen)
             seen = np.union1d(seen, own[fresh])
             kept = np.repeat(fresh, size)
-            doc, key = bucket_keys(h[kept], np.concatenate(([0], np.cumsum(size[fresh]))), num, den)
-            yield pa.RecordBatch.from_pydict({"key": key, "k": own[fresh][doc]})
+            doc, key, weight = bucket_keys(h[kept], np.concatenate(([0], np.cumsum(size[fresh]))), num, den)
+            yield pa.RecordBatch.from_pydict({"key": key, "k": own[fresh][doc], "w": weight})
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -258,18 +263,18 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
 
     known = settle(rows.mapInArrow(keys, "doc_id long, id long, copy long, n_shingles long, k long"), "classes")
     classes = known.where("k is not null").groupBy("k").agg(F.min(F.struct("id", "copy")).alias("at"), F.max("n_shingles").alias("size"))
-    each = rows.mapInArrow(buckets, "key long, k long")
+    each = rows.mapInArrow(buckets, "key long, k long, w int")
     # aggregated before the shuffle, so a bucket of very many sets is no load for one task
     shared = each.groupBy("key").agg(F.min("k").alias("lead"), F.max("k").alias("last")).where("lead <> last").select("key", "lead")
     listed = settle(each.join(bounded(shared, "shared", MOST), "key").distinct(), "buckets")
     forget_shuffles(rows.sparkSession)
     group = listed.groupBy("k").agg(F.min("lead").alias("g"))
-    of = listed.select("key", "k").join(group, "k").join(classes.select("k", "size"), "k")
+    of = listed.select("key", "k", "w").join(group, "k").join(classes.select("k", "size"), "k")
     span = [F.min("size").alias("lo"), F.max("size").alias("hi")]
     fits = (den * F.col("hi") >= num * F.col("size")) & (den * F.col("size") >= num * F.col("lo"))
-    # a partner in a group agrees in two buckets, these are in the group, and sizes are near
-    asked = of.select("key", "k", "size").join(of.groupBy("key", "g").agg(*span), "key").where(fits)
-    asked = asked.groupBy("k", "g").agg(F.count("*").alias("n")).where("n > 1").select("k", "g")
+    # a partner in a group agrees in enough buckets, these are in the group, and sizes are near
+    asked = of.select("key", "k", "w", "size").join(of.groupBy("key", "g").agg(*span), "key").where(fits)
+    asked = asked.groupBy("k", "g").agg(F.sum("w").alias("n")).where(F.col("n") >= ENOUGH).select("k", "g")
     cells = asked.join(group.withColumn("own", F.lit(1)), ["k", "g"], "left").select("k", "g", F.col("own").isNotNull().alias("own"))
     cells = settle(cells.join(classes.select("k", "size"), "k"), "cells")
     forget_shuffles(rows.sparkSession)
@@ -288,9 +293,9 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     # part 1: members outside the lead's component and all queries; part 2: members in it and queries outside it
     two = F.when(F.col("inside"), 2).otherwise(1).alias("part")
     holds = rest.where("own").select("g", two, "k", "size")
-    # which members a query is twice in the buckets of
+    # which members a query agrees with in enough buckets
     at = of.join(holds.select("k", "g", "part"), ["k", "g"]).groupBy("key", "g", "part").agg(*span)
-    asks = of.select("key", "k", "size").join(at, "key").where(fits).groupBy("k", "g", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    asks = of.select("key", "k", "w", "size").join(at, "key").where(fits).groupBy("k", "g", "part").agg(F.sum("w").alias("n")).where(F.col("n") >= ENOUGH).drop("n")
     asks = asks.join(rest.select("k", "g", "size", "inside"), ["k", "g"]).where("part = 1 or not inside").drop("inside")
     forget_shuffles(rows.sparkSession)
     more = _linked(holds, asks, tokens, num, den)
