@@ -11,6 +11,7 @@ from ..functions.fields import config_fingerprint
 from ..operators.batches import pending_files, retry_targets, source_drift
 from ..operators.checks import stop_if_any
 from ..sources.store import read_if_there, replace_results, save_results, saved_results
+from .progress import Progress
 from .rounds import ask_rounds, attempts, route_answers
 
 Work = Callable[[DataFrame], DataFrame]
@@ -49,10 +50,12 @@ def check_conditions(spark: SparkSession, store: str, config: dict[str, str], fi
     stop_if_any(drift.where("state IN ('changed', 'missing')"), "sources of the batch are not as they were")
 
 
-def run_batch(spark: SparkSession, store: str, batch_id: str, config: dict[str, str], files: DataFrame, work: Work, steps: int = 4) -> DataFrame:
+def run_batch(spark: SparkSession, store: str, batch_id: str, config: dict[str, str], files: DataFrame, work: Work, steps: int = 4, progress: Progress | None = None) -> DataFrame:
     """Results of work over all of files (file_id, path, sha): saved ones stay, the others are
     worked on in steps by hash of file_id, each saved as it ends, so a run that was broken off
-    goes on with the step it was in. work gives (file_id, ...), a row at least for each file."""
+    goes on with the step it was in. work gives (file_id, ...), a row at least for each file; what
+    it gives is counted as stage "extract" of progress."""
+    progress = progress or Progress(spark)
     check_conditions(spark, store, config, files)
     for step in range(steps):
         saved = read_if_there(spark, f"{store}/results")
@@ -60,9 +63,12 @@ def run_batch(spark: SparkSession, store: str, batch_id: str, config: dict[str,
         if saved is not None:
             left = pending_files(left, saved.where((F.col("batch_id") == batch_id) & F.col("present")), ["file_id"])
         if not left.isEmpty():
-            # the buckets of a step are those of no other
-            save_results(work(left).withColumn("batch_id", F.lit(batch_id)), f"{store}/results", steps) if saved is None else replace_results(
-                left.withColumn("batch_id", F.lit(batch_id)), work(left).withColumn("batch_id", F.lit(batch_id)), f"{store}/results", steps)
+            with progress.stage("extract", work(left).withColumn("batch_id", F.lit(batch_id))) as found:
+                # the buckets of a step are those of no other
+                if saved is None:
+                    save_results(found, f"{store}/results", steps)
+                else:
+                    replace_results(left.withColumn("batch_id", F.lit(batch_id)), found, f"{store}/results", steps)
     return saved_results(spark, f"{store}/results").where(F.col("batch_id") == batch_id)
 
 
