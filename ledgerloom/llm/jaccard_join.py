@@ -3,13 +3,13 @@
 1. Each text becomes the set of its distinct word n-grams (64-bit hashes). Texts with equal
    sets form one class; all that follows works on classes.
 2. Candidates: at a Jaccard similarity of t or more, two sets of sizes up to s differ in at
-   most k = (1-t)/(1+t) * 2s tokens. Tokens are dealt by hash to k buckets, some spare ones and
-   `need` more (a sixteenth of these, and two), so at least `need` buckets that aren't empty
-   agree, or both sets leave more buckets empty than there are spare ones. A class is listed under
-   the hash of each bucket; a bucket of a near copy agrees as a whole, so a frequent passage alone
-   makes no hot entry. (Classes with too many empty buckets are listed together.)
+   most k = (1-t)/(1+t) * 2s tokens. Tokens are dealt to buckets by hash, somewhat more than k. At
+   most k of them can differ, so of those that aren't empty in one set all but k agree. A
+   class is listed under the hash of each bucket; a bucket of a near copy agrees as a whole, so a
+   frequent passage alone makes no hot entry. (Classes that fill no more than k buckets are listed
+   together.)
 3. Similar classes are partitioned into groups (by the smallest class they share a bucket
-   with, the group's lead). A class queries each group in `need` of whose buckets it is. Members
+   with, the group's lead). A class queries each group that has all but k of its buckets. Members
    are compared with their lead first; what these links join needs no more
    comparison within the lead's component, so a group of very many near copies is done. Then
    members outside the lead's component meet all queries, and members in it the queries
@@ -76,16 +76,15 @@ def _class_of(size: np.ndarray) -> np.ndarray:
 
 
 @lru_cache
-def _buckets(scheme: int, top: int, k: int) -> tuple[int, int, int]:
-    """(buckets, how many of them may be empty, in how many at least near sets agree) of a scheme."""
+def _buckets(scheme: int, top: int, k: int) -> int:
+    """How many buckets a scheme has: of its smallest sets all but a few fill more than k of them."""
     least, spare = max(1.0, RATIO**scheme), 1
-    while True:
-        need = 2 + (k + spare) // 16
-        m = k + need + spare
+    while (m := k + 2 + k // 16 + spare) < 40 * top:
         empty = m * exp(-least / m)
-        if empty + 4 * sqrt(empty) + 1 <= spare or m >= 40 * top:
-            return m, spare, need
+        if empty + 4 * sqrt(empty) + 1 <= spare:
+            break
         spare += 1 + spare // 50
+    return m
 
 
 def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,8 +102,7 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         top = np.ceil(RATIO ** (scheme + 1) + 1).astype(np.int64)
         k = 2 * top * (den - num) // (den + num)
         use = use & (k > 0) & (size > 0)
-        sizes = np.array([_buckets(int(s), int(t), int(x)) if u else (0, 0, 1) for s, t, x, u in zip(scheme, top, k, use, strict=True)], np.int64).reshape(-1, 3)
-        m, spare, need = sizes[:, 0], sizes[:, 1], sizes[:, 2]
+        m = np.array([_buckets(int(s), int(t), int(x)) if u else 0 for s, t, x, u in zip(scheme, top, k, use, strict=True)], np.int64)
         base = np.cumsum(m) - m
         mine = use[doc]
         d, x = doc[mine], h[mine]
@@ -117,8 +115,10 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[n
         place = (slot[head] - base[of]).astype(np.uint64)
         out_doc.append(of)
         out_key.append(mix(total + mix((scheme[of].astype(np.uint64) << np.uint64(40)) + place + np.uint64(1))))
-        out_weight.append(-(-ENOUGH // need[of]))
-        scarce = np.flatnonzero(use & (m - np.bincount(of, minlength=len(m)) > spare))
+        # at most k of a set's buckets differ from a near one's, so all others that aren't empty agree
+        sure = np.bincount(of, minlength=len(m)) - k
+        out_weight.append(-(-ENOUGH // np.maximum(sure[of], 1)))
+        scarce = np.flatnonzero(use & (sure < 2))
         out_doc.append(scarce)
         out_key.append(mix(scheme[scarce].astype(np.uint64) + np.uint64(1 << 60)))
         out_weight.append(np.full(len(scarce), ENOUGH, np.int64))
