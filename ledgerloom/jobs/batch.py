@@ -12,12 +12,12 @@ from ..operators.batches import pending_files, retry_targets, source_drift
 from ..operators.checks import stop_if_any
 from ..sources.store import read_if_there, replace_results, save_results, saved_results
 from .progress import Progress
-from .rounds import ask_rounds, attempts, route_answers
+from .rounds import ask_rounds, route_answers
 
 Work = Callable[[DataFrame], DataFrame]
 
 
-def asked_work(spark: SparkSession, store: str, request: Column, call: Callable[[str], str], parse: Work, name: str = "first", max_tries: int = 3, at_once: int = 2) -> Work:
+def asked_work(store: str, request: Column, call: Callable[[str], str], parse: Work, name: str = "first", max_tries: int = 3, at_once: int = 2) -> Work:
     """Work for run_batch and retry_batch that asks a service about each file, at most at_once
     calls at a time, and writes all attempts to `{store}/asked/{name}`: a batch that is broken
     off, or stopped by a permanent failure, asks nothing twice when it runs again. A retry of files under
@@ -27,8 +27,8 @@ def asked_work(spark: SparkSession, store: str, request: Column, call: Callable[
 
     def work(files: DataFrame) -> DataFrame:
         at = f"{store}/asked/{name}"
-        ask_rounds(files.select("file_id", request.alias("request")), ["file_id"], at, call, "request", max_tries, at_once)
-        answers = route_answers(attempts(spark, at), ["file_id"], max_tries).join(files.select("file_id"), "file_id", "left_semi")
+        said = ask_rounds(files.select("file_id", request.alias("request")), ["file_id"], at, call, "request", max_tries, at_once)
+        answers = route_answers(said, ["file_id"], max_tries).join(files.select("file_id"), "file_id", "left_semi")
         rows = parse(answers.where("size(reasons) = 0").select("file_id", "answer"))
         given_up = answers.where("size(reasons) > 0").select("file_id", F.lit("review").alias("route"), F.array_join("reasons", ";").alias("reasons"))
         return rows.unionByName(given_up, allowMissingColumns=True)

@@ -646,6 +646,28 @@ def _(spark, d):
     return _shown(document_blocks(list_sources(spark, [at], ("docx", "pages")).select("path"), {"pages": PagedLines()}))
 
 
+@query("src1_list_files", """SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS sha FROM documents WHERE lang IN ('en', 'de') AND source <> (SELECT min(source) FROM documents) AND text IS NOT NULL""")
+def _(spark, d):
+    """Texts as files in a folder for each source, of kinds that are input for some languages; one
+    folder is left out."""
+    at = scratch(spark, "sources")
+    docs = t(spark, d, "documents").select("doc_id", "text", "lang", "source").where("text IS NOT NULL")
+
+    def write(batches):
+        kinds = {"en": "PDF", "de": "docx"}
+        for b in batches:
+            for i, text, lang, source in zip(b["doc_id"], b["text"], b["lang"], b["source"], strict=True):
+                with new_file(f"{at}/{source}/{i}.{kinds.get(lang, 'xlsx')}") as f:
+                    f.write(text.encode())
+            yield b[["doc_id"]]
+
+    docs.mapInPandas(write, "doc_id long").agg(F.count("*")).collect()
+    least = docs.agg(F.min("source")).first()[0]
+    out = f"file:/{at.split('file:')[1].lstrip('/')}/{least}" if at.startswith("file:") else f"{at}/{least}"
+    files = list_sources(spark, [at], exclude=(out,))
+    return files.select(F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("long").alias("doc_id"), "n_bytes", content_hash(F.col("content")).alias("sha"))
+
+
 @query("snk1_write_ledger", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'review' ELSE 'normal' END AS sheet FROM orders")
 def _(spark, d):
     rows, out = t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), scratch(spark, "ledger")

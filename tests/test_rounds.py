@@ -183,13 +183,16 @@ def test_a_batch_asks_once_and_a_retry_asks_review_files_alone(spark, tmp_path):
         return answers.select("file_id", "answer", F.when(F.col("answer") == "odd", "review").otherwise("normal").alias("route"))
 
     store, config, own = f"file://{tmp_path}/batch", {"model": "m"}, files(spark, 40)
-    work = asked_work(spark, store, F.col("path"), call, parse)
+    work = asked_work(store, F.col("path"), call, parse)
     assert run_batch(spark, store, "b", config, own, work).count() == 40
     assert calls(tmp_path / "calls") == {f"p{i}": 1 for i in range(40)}
     assert run_batch(spark, store, "b", config, own, work).count() == 40
-    after = retry_batch(spark, store, "b", config, own, asked_work(spark, store, F.col("path"), call, parse, "again"))
+    after = retry_batch(spark, store, "b", config, own, asked_work(store, F.col("path"), call, parse, "again"))
     assert calls(tmp_path / "calls") == {f"p{i}": 2 if i == 7 else 1 for i in range(40)}
     assert {r.route for r in after.collect()} == {"normal"} and after.count() == 40
+    # nothing is under review any more
+    assert retry_batch(spark, store, "b", config, own, asked_work(store, F.col("path"), call, parse, "third")).count() == 40
+    assert sum(calls(tmp_path / "calls").values()) == 41
 
 
 def test_given_up_files_are_under_review(spark, tmp_path):
@@ -197,7 +200,7 @@ def test_given_up_files_are_under_review(spark, tmp_path):
         raise TemporaryFailure("busy")
 
     store = f"file://{tmp_path}/batch"
-    work = asked_work(spark, store, F.col("path"), noted(tmp_path / "calls", answer), lambda a: a.select("file_id", "answer", F.lit("normal").alias("route")), max_tries=2)
+    work = asked_work(store, F.col("path"), noted(tmp_path / "calls", answer), lambda a: a.select("file_id", "answer", F.lit("normal").alias("route")), max_tries=2)
     rows = run_batch(spark, store, "b", {"model": "m"}, files(spark, 3), work, steps=2).collect()
     assert {(r.file_id, r.route, r.reasons) for r in rows} == {(f"f{i}", "review", "no answer after 2 tries: TemporaryFailure: busy") for i in range(3)}
     assert set(calls(tmp_path / "calls").values()) == {2}
