@@ -663,8 +663,7 @@ def _(spark, d):
 
     docs.mapInPandas(write, "doc_id long").agg(F.count("*")).collect()
     least = docs.agg(F.min("source")).first()[0]
-    out = f"file:/{at.split('file:')[1].lstrip('/')}/{least}" if at.startswith("file:") else f"{at}/{least}"
-    files = list_sources(spark, [at], exclude=(out,))
+    files = list_sources(spark, [at], exclude=(f"{at}/{least}",))
     return files.select(F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("long").alias("doc_id"), "n_bytes", content_hash(F.col("content")).alias("sha"))
 
 

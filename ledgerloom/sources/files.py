@@ -24,13 +24,20 @@ def accept_paths(df: DataFrame, path: str = "path", exts: tuple[str, ...] = EXTE
     return out
 
 
+def _listed_as(spark: SparkSession, path: str) -> str:
+    """A path as Spark's listing writes it (file:/a for /a or file:///a)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def list_sources(spark: SparkSession, roots: list[str], exts: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, modified_at, n_bytes, content) of all input files under roots."""
+    """(path, modified_at, n_bytes, content) of all input files under roots, without those in the
+    excluded folders, which may be written as roots may: with a scheme or without."""
     # by the listing, so that no other file is opened
     glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in exts) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
     files = files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("n_bytes"), "content")
-    return accept_paths(files, exts=exts, exclude=exclude)
+    return accept_paths(files, exts=exts, exclude=tuple(_listed_as(spark, x) for x in exclude))
 
 
 def text_blocks(df: DataFrame, file: str, text: str = "text") -> DataFrame:
