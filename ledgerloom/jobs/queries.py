@@ -21,7 +21,7 @@ from ..operators.assembly import assemble, entries_of, retry_units
 from ..operators.extract import rule_extract
 from ..operators.sheets import cut_sheets
 from ..operators.template_sql import register_fill_template
-from ..sources.blocks import block_source, document_blocks, new_file
+from ..sources.blocks import block_source, document_blocks, list_files, new_file
 from ..sources.difference import differences
 from ..sources.files import accept_paths, list_sources, read_blocks, text_blocks
 from ..sources.readers import Block, Reader
@@ -640,10 +640,10 @@ def _(spark, d):
 
 @query("udf2_read_parts", _BLOCKS)
 def _(spark, d):
-    """The same, listed by Spark and planned by tasks."""
+    """The same, listed and planned by tasks."""
     at = scratch(spark, "files")
     _as_files(spark, d, at)
-    return _shown(document_blocks(list_sources(spark, [at], ("docx", "pages")).select("path"), {"pages": PagedLines()}))
+    return _shown(document_blocks(list_files(spark, [at], ("docx", "pages")).select("path"), {"pages": PagedLines()}))
 
 
 @query("src1_list_files", """SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS sha FROM documents WHERE lang IN ('en', 'de') AND source <> (SELECT min(source) FROM documents) AND text IS NOT NULL""")

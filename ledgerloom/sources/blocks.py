@@ -1,8 +1,9 @@
 """Source files as a table of blocks, read part by part.
 
-`block_source` makes a data source for spark.read: it lists the files under a path and plans
-partitions of parts of files. `document_blocks` does the same for a table of paths: planning is
-then a job of its own, for more files than one process should look into.
+`block_source` makes a data source for spark.read: it lists the files under a path, opens none, and
+deals them out by size; a file's parts are planned by the tasks that read them. `document_blocks`
+does the same for a table of paths, planning is then a job of its own. `list_files` lists in
+tasks, for more files than one process should know of.
 """
 
 from __future__ import annotations
@@ -13,20 +14,23 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import astuple
+from functools import reduce
 from typing import Any, BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .readers import READERS, Reader
+from .store import written
 
 BLOCK = (
     "file_id string, part int, block_no int, kind string, page int, para int, row int, col int, text string, name string, "
     "width int, height int, content binary, status string"
 )
 _NO_BLOCK = (None,) * 10
+_OPENING = 64 << 10  # bytes that opening a file counts as
 
 
 def _local(path: str) -> str | None:
@@ -100,8 +104,31 @@ def part_rows(path: str, number: int, part: Any, failure: str | None, readers: d
     yield (path, number, n, *_NO_BLOCK, failure)
 
 
-class _Parts(InputPartition):
-    def __init__(self, items: list[tuple[str, int, Any, str | None]]):
+def _share(path: str, k: int, n: int, readers: dict[str, Reader]) -> Iterator[tuple]:
+    """Rows of each n-th part of a file, from the k-th on; the file's parts are planned where they are read."""
+    for number, part, failure in plan_file(path, readers):
+        if number % n == k:
+            yield from part_rows(path, number, part, failure, readers)
+
+
+def _entries(folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Folders in a folder, and (path, size) of the files in it; a file has itself."""
+    from pyarrow import fs
+
+    store, root = _store(folder)
+    info = store.get_file_info(root)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
+    # what stands before a path in its store: the scheme, and the host where the store leaves it out
+    before = _named(folder).removesuffix("/").removesuffix(root.removesuffix("/"))
+    return [before + x.path for x in found if x.type == fs.FileType.Directory], [(before + x.path, x.size or 0) for x in found if x.type == fs.FileType.File]
+
+
+def _read_as(path: str, exts) -> bool:
+    return path.rsplit(".", 1)[-1].lower() in exts
+
+
+class _Shares(InputPartition):
+    def __init__(self, items: list[tuple[str, str, int, int]]):
         self.items = items
 
 
@@ -110,36 +137,48 @@ class _BlockReader(DataSourceReader):
         self.path = options.get("path")
         if not self.path:
             raise ValueError("a path is needed")
-        self.exclude = [x for x in (options.get("exclude") or "").split(",") if x]
-        self.at_once, self.size = int(options.get("planners", "16")), int(options.get("partsPerPartition", "8"))
+        self.exclude = tuple(_named(x).rstrip("/") + "/" for x in (options.get("exclude") or "").split(",") if x)
+        self.at_once, self.most = int(options.get("planners", "16")), int(options.get("partsPerPartition", "1000"))
+        self.size = int(options.get("bytesPerPartition", str(32 << 20)))
         self.readers = readers
 
-    def partitions(self) -> list[_Parts]:
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        info = store.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        # what stands before a path in its store: the scheme, and the host where the store leaves it out
-        before = _named(self.path).removesuffix("/").removesuffix(root.removesuffix("/"))
-        paths = sorted(before + x.path for x in found if x.type == fs.FileType.File)
-        paths = [p for p in paths if p.rsplit(".", 1)[-1].lower() in self.readers and not any(p.startswith(_named(x).rstrip("/") + "/") for x in self.exclude)]
+    def partitions(self) -> list[_Shares]:
+        out, held, items = [], 0, []
+        folders = [self.path]
         with ThreadPoolExecutor(self.at_once) as pool:  # waiting for the store, mostly
-            planned = pool.map(lambda p: [(p, *x) for x in plan_file(p, self.readers)], paths)
-            parts = [x for own in planned for x in own]
-        return [_Parts(parts[i : i + self.size]) for i in range(0, len(parts), self.size)] or [_Parts([])]
-
-    def read(self, partition: _Parts) -> Iterator[tuple]:
-        for item in partition.items:
-            yield from part_rows(*item, self.readers)
+            while folders:
+                below = []
+                for own, files in pool.map(_entries, folders):
+                    below += own
+                    for path, size in sorted(files):
+                        if not _read_as(path, self.readers) or path.startswith(self.exclude):
+                            continue
+                        folder, _, name = path.rpartition("/")
+                        n = max(1, -(-size // self.size))
+                        for k in range(n):
+                            if items and (held >= self.size or len(items) >= self.most):
+                                out.append(_Shares(items))
+                                held, items = 0, []
+                            if items and items[-1][0] == folder:
+                                folder = items[-1][0]  # one text, which is written down once
+                            items.append((folder, name, k, n))
+                            held += size // n + _OPENING
+                folders = [x for x in below if not (x + "/").startswith(self.exclude)]
+        return [*out, _Shares(items)]
+
+    def read(self, partition: _Shares) -> Iterator[tuple]:
+        for folder, name, k, n in partition.items:
+            yield from _share(f"{folder}/{name}", k, n, self.readers)
 
 
 def block_source(readers: dict[str, Reader] | None = None, name: str = "document_blocks") -> type[DataSource]:
     """A data source of BLOCK rows, for spark.dataSource.register and spark.read.format(name).
 
     Options: path (a file or folder of any store that pyarrow knows), exclude (folders, by comma),
-    partsPerPartition (8), planners (16). Files are those with a reader's extension; readers are
-    plugged in beside the built-in ones. (file_id, part, block_no) tells blocks apart and gives
+    bytesPerPartition (32 MB; a larger file is shared out among several, each of which takes every
+    so many parts of it), partsPerPartition (1000: files or shares of files), planners (16: folders
+    listed at once). Files are those with a reader's extension; readers are plugged in beside the
+    built-in ones. (file_id, part, block_no) tells blocks apart and gives
     their order in the file. A file that can't be read, or a part that breaks off, gives a row with
     its cause as status."""
     own = READERS | (readers or {})
@@ -158,6 +197,34 @@ def block_source(readers: dict[str, Reader] | None = None, name: str = "document
     return Blocks
 
 
+def list_files(spark: SparkSession, roots: list[str], exts: tuple[str, ...], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path, n_bytes) of all files under roots (files or folders of any store that pyarrow knows)
+    with one of the extensions, without those in excluded folders and, as in Spark's own listing,
+    hidden ones. Folders are listed by tasks, level by level; the driver sees counts alone."""
+    left_out = tuple(_named(x).rstrip("/") + "/" for x in exclude)
+
+    def hidden(path: str) -> bool:
+        name = path.rpartition("/")[2]
+        return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["path"]:
+                below, files = _entries(folder)
+                found = [(x, None) for x in below if not hidden(x) and not (x + "/").startswith(left_out)]
+                found += [(x, n) for x, n in files if not hidden(x) and not x.startswith(left_out) and _read_as(x, exts)]
+                for i in range(0, len(found), 10_000):
+                    yield pd.DataFrame(found[i : i + 10_000], columns=["path", "n_bytes"]).astype({"n_bytes": "Int64"})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, levels = spark.createDataFrame([(_named(x),) for x in roots], "path string"), []
+    while not folders.isEmpty():
+        levels.append(written(folders.repartition(n, "path").mapInPandas(entries, "path string, n_bytes long"), "listed"))
+        folders = levels[-1].where("n_bytes IS NULL").select("path")
+    none = spark.createDataFrame([], "path string, n_bytes long")
+    return reduce(DataFrame.unionByName, levels, none).where("n_bytes IS NOT NULL")
+
+
 def document_blocks(files: DataFrame, readers: dict[str, Reader] | None = None, path: str = "path", tasks: int | None = None) -> DataFrame:
     """BLOCK rows of files (path): parts are planned by tasks, dealt out evenly, and read. A path
     that stands there twice is read once; a null path is left out."""

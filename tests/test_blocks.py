@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.fields import format_location
 from ledgerloom.functions.fragments import image_regions
 from ledgerloom.jobs.queries import PagedLines
-from ledgerloom.sources.blocks import block_source, document_blocks, new_file
+from ledgerloom.sources.blocks import block_source, document_blocks, list_files, new_file
 from ledgerloom.sources.readers import READERS, Block, Reader
 
 NS = (
@@ -162,3 +162,29 @@ def test_files_are_written_with_their_folders(tmp_path):
     with new_file(f"file://{tmp_path}/x/y/z.bin") as f:
         f.write(b"abc")
     assert (tmp_path / "x/y/z.bin").read_bytes() == b"abc"
+
+
+def test_the_source_opens_no_file_on_the_driver_and_makes_few_partitions(tmp_path, monkeypatch):
+    for i in range(900):
+        (tmp_path / str(i % 3)).mkdir(exist_ok=True)
+        (tmp_path / str(i % 3) / f"{i}.pages").write_text("\f".join("abc"))
+    (tmp_path / "large.pages").write_text("\f".join(f"page {i}" for i in range(5000)))
+    monkeypatch.setattr("ledgerloom.sources.blocks.opened", lambda path: pytest.fail("opened while planning"))
+    reader = block_source({"pages": PagedLines()})({"path": str(tmp_path), "exclude": f"{tmp_path}/2", "bytesPerPartition": "16000"}).reader(None)
+    reader.size = 16_000
+    parts = reader.partitions()
+    monkeypatch.undo()
+    rows = [row for p in parts for row in reader.read(p)]
+    assert len([r for r in rows if not r[0].endswith("large.pages")]) == 600 * 3
+    large = [r for r in rows if r[0].endswith("large.pages")]
+    assert sorted(r[1] for r in large) == list(range(5000)) and sorted(r[8] for r in large) == sorted(f"page {i}" for i in range(5000))
+    assert sum(any(x[1] == "large.pages" for x in p.items) for p in parts) >= 3
+    reader.size = 32 << 20
+    assert 1 <= len(reader.partitions()) <= 3
+
+
+def test_files_are_listed_by_tasks(spark, folder):
+    found = list_files(spark, [str(folder), f"file:{folder}/p.png"], ("docx", "png"), exclude=(f"file://{folder}/sub/own",)).collect()
+    names = sorted((r.path.rpartition("/")[2], r.n_bytes > 0) for r in found)
+    assert names == [("a.DOCX", True), ("bad.docx", True), ("none.docx", False), ("other.docx", True), ("p.png", True), ("p.png", True)]
+    assert all(r.path.startswith("file:///") for r in found)
