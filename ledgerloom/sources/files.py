@@ -11,8 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 #: Kinds of files that are input.
 EXTENSIONS = ("docx", "doc", "pdf", "png", "jpg", "jpeg", "tif", "tiff")
+_HELD = 4 << 20  # bytes of blocks that are passed on at once, about
 BLOCKS = "file_id string, block_no int, kind string, page int, para int, row int, col int, text string, status string"
 
 
@@ -84,23 +87,40 @@ def block_reader(readers: dict[str, Callable[[bytes], Iterator[tuple]]] | None =
     own = {"docx": docx_blocks} | (readers or {})
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("block_no", "page", "para", "row", "col")})
+
+    def blocks(file_id: str, path: str, content: bytes) -> Iterator[tuple]:
+        i = 0
+        try:
+            ext = path.rsplit(".", 1)[-1].lower()
+            if ext not in own:
+                raise ValueError(f"no reader for .{ext}")
+            for x in own[ext](content):
+                yield (file_id, i, *(x if len(x) == 6 else (x[0], None, *x[1:])), "read")
+                i += 1
+        except Exception as e:  # the cause goes to the review table
+            yield (file_id, None, None, None, None, None, None, None, f"failed: {type(e).__name__}")
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for file_id, path, content in zip(batch.file_id, batch.path, batch.content, strict=True):
-                try:
-                    ext = path.rsplit(".", 1)[-1].lower()
-                    if ext not in own:
-                        raise ValueError(f"no reader for .{ext}")
-                    found = (x if len(x) == 6 else (x[0], None, *x[1:]) for x in own[ext](content))
-                    rows = [(file_id, i, *x, "read") for i, x in enumerate(found)]
-                except Exception as e:  # the cause goes to the review table
-                    rows = [(file_id, None, None, None, None, None, None, None, f"failed: {type(e).__name__}")]
-                out += rows
-            yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("block_no", "page", "para", "row", "col")})
+                rows = list(blocks(file_id, path, content))
+                # of a file that breaks off only its cause is told
+                for row in rows[-1:] if rows and rows[-1][1] is None else rows:
+                    out.append(row)
+                    held += 200 + len(row[7] or "")
+                    if held > _HELD:
+                        yield frame(out)
+                        out, held = [], 0
+            yield frame(out)
 
     return read
 
 
 def read_blocks(files: DataFrame, readers: dict | None = None) -> DataFrame:
+    """Blocks of files (file_id, path, content). Lowers the session's bound on an Arrow batch to 4 MB
+    where it is higher, so that a task holds few files at once."""
+    small_batches(files.sparkSession)
     return files.select("file_id", "path", "content").mapInPandas(block_reader(readers), BLOCKS)

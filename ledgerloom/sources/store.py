@@ -30,6 +30,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> None:
+    """Lowers the session's bound on an Arrow batch to n_bytes, where it is higher: by default
+    a task passes up to 10,000 rows to Python at once, contents of files or whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) > n_bytes:
+        spark.conf.set(key, str(n_bytes))
+
+
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at path, None where there is none."""
     try:

@@ -1,9 +1,10 @@
 """Files listed under a folder, however it is written."""
 
+import pandas as pd
 import pytest
 
 from ledgerloom.jobs import queries
-from ledgerloom.sources.files import list_sources
+from ledgerloom.sources.files import block_reader, list_sources
 
 
 @pytest.mark.parametrize("before", ["", "file:", "file://"])
@@ -22,3 +23,21 @@ def test_the_query_leaves_its_folder_out_where_the_shared_one_has_no_scheme(spar
     monkeypatch.setattr(queries, "scratch", lambda spark, name: f"{tmp_path}/shared/{name}")
     got = queries.QUERIES["src1_list_files"](spark, str(tmp_path)).select("doc_id", "n_bytes").collect()
     assert sorted(map(tuple, got)) == [(3, 1)]
+
+
+def test_blocks_are_passed_on_in_small_frames():
+    """Of 40 MB of blocks in one batch, no frame holds more than a part; a file that breaks off gives its cause alone."""
+
+    def lines(content):
+        for i in range(2000):
+            yield "para", i + 1, None, None, "x" * 1000
+            if content == b"bad" and i == 5:
+                raise OSError("torn")
+
+    batch = pd.DataFrame({"file_id": [str(i) for i in range(20)], "path": ["a.txt"] * 19 + ["a.pdf"], "content": [b""] * 10 + [b"bad"] + [b""] * 9})
+    frames = list(block_reader({"txt": lines})(iter([batch])))
+    assert max(len(f) for f in frames) < 5000
+    whole = pd.concat(frames)
+    assert (whole[whole.status == "read"].groupby("file_id").size() == 2000).all() and len(whole) == 18 * 2000 + 2
+    assert sorted(whole[whole.status != "read"].status) == ["failed: OSError", "failed: ValueError"]
+    assert whole[whole.file_id == "3"].block_no.tolist() == list(range(2000))
