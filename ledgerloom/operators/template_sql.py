@@ -36,11 +36,12 @@ class FillTemplate:
 
     def eval(self, rows: Row, header: list[str | None]) -> Iterator[tuple[Any, ...]]:
         fields = rows["fields"] or {}
-        yield (*(v for k, v in rows.asDict(recursive=False).items() if k != "fields"), *(None if c is None else fields.get(c) for c in header))
+        yield (*(v for k, v in zip(rows.__fields__, rows, strict=True) if k != "fields"), *(None if c is None else fields.get(c) for c in header))
 
 
 def register_fill_template(spark: SparkSession, name: str = "fill_template") -> None:
-    """Makes the function known to the session's SQL; rows go to Python in Arrow batches."""
+    """Makes the function known to the session's SQL. Rows go to Python in pickled batches: with
+    useArrow a function with `analyze` makes a data frame and an Arrow batch of each row."""
     from pyspark.sql.functions import udtf
 
-    spark.udtf.register(name, udtf(FillTemplate, useArrow=True))
+    spark.udtf.register(name, udtf(FillTemplate, useArrow=False))

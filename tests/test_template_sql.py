@@ -33,3 +33,10 @@ def test_a_bad_header_fails_when_the_query_is_planned(spark, rows, header):
 def test_a_table_without_fields_fails_too(spark, rows):
     with pytest.raises(Exception, match="no column fields"):
         spark.sql("SELECT * FROM fill_template(TABLE(SELECT id FROM ledger_rows), header => array('a'))").schema  # noqa: B018
+
+
+def test_rows_are_not_passed_one_by_one(spark, rows, capsys):
+    """An Arrow table function with `analyze` makes a data frame of each row: 0.3 ms in place of 0.03."""
+    spark.sql("SELECT * FROM fill_template(TABLE(ledger_rows), header => array('a'))").explain()
+    plan = capsys.readouterr().out
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
