@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gate import Address, Closed, place
+from .gate import Address, Closed, Visitor, visit
 
 
 class TemporaryFailure(Exception):
@@ -44,10 +44,10 @@ def ask(requests: DataFrame, call: Callable[[str], str], gate: Address, request:
     own = [f for f in requests.schema.fields if f.name not in ("status", "answer", "cause", "began", "ended")]
     names = [f.name for f in own]
 
-    def one(text: str | None) -> tuple:
+    def one(visitor: Visitor, text: str | None) -> tuple:
         began = None
         try:
-            with place(gate) as lease:
+            with visitor.place() as lease:
                 began = time.time()
                 try:
                     return OK, call(text or ""), None, began, time.time()
@@ -61,7 +61,8 @@ def ask(requests: DataFrame, call: Callable[[str], str], gate: Address, request:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            said = [one(x) for x in b[request].tolist()]
+            with visit(gate) as visitor:
+                said = [one(visitor, x) for x in b[request].tolist()]
             yield pd.concat([b[names].reset_index(drop=True), pd.DataFrame(said, columns=["status", "answer", "cause", "began", "ended"])], axis=1)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), ANSWER])

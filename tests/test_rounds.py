@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.jobs.batch import asked_work, retry_batch, run_batch
 from ledgerloom.jobs.rounds import Stopped, ask_rounds, attempts, finished_rounds, route_answers, run_rounds, standing
 from ledgerloom.operators.extract import PermanentFailure, TemporaryFailure, ask
-from ledgerloom.operators.gate import Address, Closed, Gate, place
+from ledgerloom.operators.gate import Address, Closed, Gate, place, visit
 
 
 def noted(folder, answer):
@@ -135,6 +135,36 @@ def test_a_lost_caller_frees_its_place_and_strangers_get_none(spark):
             pass
 
 
+def test_one_connection_serves_many_calls_and_lets_others_in_between(spark, monkeypatch):
+    made, connect = [], socket.create_connection
+    monkeypatch.setattr(socket, "create_connection", lambda *a, **k: made.append(a) or connect(*a, **k))
+    with Gate(spark, 1) as gate, visit(gate.address) as own:
+        for _ in range(50):
+            with own.place():
+                pass
+        with pytest.raises(OSError), own.place():
+            raise OSError("the call failed")
+        assert len(made) == 1 and gate.n_calls == 51
+        got = threading.Event()
+
+        def wait():
+            with place(gate.address):
+                got.set()
+
+        with own.place():
+            t = threading.Thread(target=wait)
+            t.start()
+            assert not got.wait(0.2)
+        assert got.wait(5)  # though the first connection is still there
+        t.join()
+        with own.place() as lease:
+            lease.close_gate("wrong model")
+        for _ in range(2):
+            with pytest.raises(Closed, match="wrong model"), own.place():
+                pass
+        assert gate.n_calls == 54
+
+
 def test_a_lost_task_repeats_its_partition_alone(tmp_path):
     """In a process of its own, where a task may fail: of 40 requests in partitions of about 4 a task
     is lost once, in the middle of its work."""
