@@ -747,7 +747,7 @@ def _(spark, d):
     spark.conf.set(key, ROCKS)
     try:
         for part in (rows.where("text LIKE 'error%'"), rows.where("text NOT LIKE 'error%'"), rows):
-            part.coalesce(2).write.mode("append").parquet(f"{at}/in")
+            part.write.mode("append").parquet(f"{at}/in")
             arrivals = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
             intake_stream(arrivals, f"{at}/store", f"{at}/mark", "b", lambda x: x.select("file_id", F.upper("text").alias("found")), 4).awaitTermination()
     finally:

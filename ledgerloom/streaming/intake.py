@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +34,20 @@ class _LastSeen(StatefulProcessor):
         self.seen = handle.getValueState("seen", "sha string, seq long, versions int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        newest, held, at = None, None, 0
         for part in rows:
             # of several rows of one seq the largest sha, as in latest_versions
-            top = part.sort_values(["seq", "sha"]).iloc[-1:]
-            if newest is None or (top.seq.iat[0], top.sha.iat[0]) > (newest.seq.iat[0], newest.sha.iat[0]):
-                newest = top
-        sha, seq, versions = (self.seen.get() if self.seen.exists() else (None, None, 0))
-        now = (int(newest.seq.iat[0]), newest.sha.iat[0])
-        if seq is not None and now <= (seq, sha):
+            seq, sha = part["seq"].to_numpy(), part["sha"].to_numpy()
+            top = max(np.flatnonzero(seq == seq.max()), key=sha.__getitem__)
+            if newest is None or (int(seq[top]), sha[top]) > newest:
+                newest, held, at = (int(seq[top]), sha[top]), part, top
+        sha, seq, versions = self.seen.get() or (None, None, 0)
+        if seq is not None and newest <= (seq, sha):
             return  # an older version that comes late, or the same once more
-        fresh = sha != now[1]
-        self.seen.update((now[1], now[0], versions + fresh))
+        fresh = sha != newest[1]
+        self.seen.update((newest[1], newest[0], versions + fresh))
         if fresh:
-            yield newest.assign(versions=versions + 1, previous=sha)
+            yield held.iloc[[at]].assign(versions=versions + 1, previous=sha)
 
     def close(self) -> None:
         pass

@@ -2,10 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.streaming.intake import ROCKS, intake_results, intake_stream, latest_versions, take_in
+from ledgerloom.streaming.intake import _LastSeen, ROCKS, intake_results, intake_stream, latest_versions, take_in
 
 SCHEMA = "path string, sha string, seq long, text string"
 
@@ -106,3 +107,28 @@ def test_another_state_store_is_refused(spark, tmp_path):
     spark.range(1).selectExpr("'a' path", "'s' sha", "id seq", "'t' text").write.parquet(f"{tmp_path}/in")
     with pytest.raises(ValueError, match="providerClass"):
         intake_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "x", "y", "b", lambda x: x)
+
+
+def test_a_path_asks_its_state_once_and_makes_frames_only_of_what_is_new():
+    class State:  # with no more than the calls that a path needs
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    seen = _LastSeen()
+    seen.seen = state = State()
+
+    def take(*parts):
+        frames = [pd.DataFrame(rows, columns=["path", "sha", "seq"]) for rows in parts]
+        return [tuple(r) for f in seen.handleInputRows(("p",), iter(frames), None) for r in f.itertuples(index=False)]
+
+    assert take([("p", "a", 1), ("p", "c", 4), ("p", "b", 4)], [("p", "z", 3)]) == [("p", "c", 4, 1, None)]
+    assert take([("p", "b", 4)]) == [] and state.held == ("c", 4, 1)  # late
+    assert take([("p", "c", 5)]) == [] and state.held == ("c", 5, 1)  # the same content
+    assert take([("p", "a", 2)], [("p", "d", 6)]) == [("p", "d", 6, 2, "c")]
+    assert state.calls == 4
