@@ -648,23 +648,28 @@ def _(spark, d):
 
 @query("src1_list_files", """SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS sha FROM documents WHERE lang IN ('en', 'de') AND source <> (SELECT min(source) FROM documents) AND text IS NOT NULL""")
 def _(spark, d):
-    """Texts as files in a folder for each source, of kinds that are input for some languages; one
-    folder is left out."""
+    """Texts as files in a folder for each source, of kinds that are input for some languages; two
+    folders are left out: the least source's and that of texts without one."""
     at = scratch(spark, "sources")
-    docs = t(spark, d, "documents").select("doc_id", "text", "lang", "source").where("text IS NOT NULL")
+    docs = t(spark, d, "documents")
+    # any source's text gives a folder's name; a row's number tells files of one doc_id apart
+    folder = F.coalesce(F.sha2("source", 256), F.lit("none"))
+    rows = docs.withColumn("name", F.concat_ws("_", F.monotonically_increasing_id(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = rows.where("text IS NOT NULL").select("name", "text", "lang", folder.alias("folder"))
 
     def write(batches):
         kinds = {"en": "PDF", "de": "docx"}
         for b in batches:
-            for i, text, lang, source in zip(b["doc_id"], b["text"], b["lang"], b["source"], strict=True):
-                with new_file(f"{at}/{source}/{i}.{kinds.get(lang, 'xlsx')}") as f:
+            for name, text, lang, own in zip(b["name"], b["text"], b["lang"], b["folder"], strict=True):
+                with new_file(f"{at}/{own}/{name}.{kinds.get(lang, 'xlsx')}") as f:
                     f.write(text.encode())
-            yield b[["doc_id"]]
+            yield b[["name"]]
 
-    docs.mapInPandas(write, "doc_id long").agg(F.count("*")).collect()
-    least = docs.agg(F.min("source")).first()[0]
-    files = list_sources(spark, [at], exclude=(f"{at}/{least}",))
-    return files.select(F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("long").alias("doc_id"), "n_bytes", content_hash(F.col("content")).alias("sha"))
+    rows.mapInPandas(write, "name string").agg(F.count("*")).collect()
+    least = docs.agg(F.sha2(F.min("source"), 256)).first()[0]
+    files = list_sources(spark, [at], exclude=(f"{at}/{least}", f"{at}/none"))
+    doc_id = F.nullif(F.regexp_extract("path", r"_(-?[0-9]*)\.[A-Za-z]+$", 1), F.lit("")).cast("long")
+    return files.select(doc_id.alias("doc_id"), "n_bytes", content_hash(F.col("content")).alias("sha"))
 
 
 @query("snk1_write_ledger", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'review' ELSE 'normal' END AS sheet FROM orders")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -65,11 +66,16 @@ def opened(path: str) -> Iterator[tuple[BinaryIO, int]]:
 
 @contextmanager
 def new_file(path: str) -> Iterator[BinaryIO]:
-    """A file of such a store, written from the start; folders above it are made."""
+    """A file of such a store, written from the start; folders above it are made. A local file takes its
+    place once it is whole, as an object store's does, whatever becomes of its task or of a second one."""
     store, at = _store(path)
-    store.create_dir(at.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(at) as f:
+    folder = at.rpartition("/")[0]
+    store.create_dir(folder, recursive=True)
+    temp = f"{folder}/.{uuid.uuid4().hex}.tmp" if _local(path) is not None else at
+    with store.open_output_stream(temp) as f:
         yield f
+    if temp != at:
+        store.move(temp, at)
 
 
 def _reader(path: str, readers: dict[str, Reader]) -> Reader:

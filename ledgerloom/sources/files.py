@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -33,13 +35,22 @@ def _listed_as(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def _empty_ones(files: DataFrame) -> DataFrame:
+    """(path, modified_at, n_bytes, content) of the files that Spark's listing has and its reader leaves
+    out, as they hold no byte; the time is unknown."""
+    listed = [(re.sub("^file:///", "file:/", unquote(x)),) for x in files.inputFiles()]
+    rows = files.sparkSession.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return rows.select("path", F.lit(None).cast("timestamp").alias("modified_at"), F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("content"))
+
+
 def list_sources(spark: SparkSession, roots: list[str], exts: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, modified_at, n_bytes, content) of all input files under roots, without those in the
     excluded folders, which may be written as roots may: with a scheme or without."""
     # by the listing, so that no other file is opened
     glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in exts) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
-    files = files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("n_bytes"), "content")
+    columns = ["path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("n_bytes"), "content"]
+    files = files.select(*columns).unionByName(_empty_ones(files))
     return accept_paths(files, exts=exts, exclude=tuple(_listed_as(spark, x) for x in exclude))
 
 

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from ledgerloom.jobs import queries
+from ledgerloom.sources.blocks import new_file
 from ledgerloom.sources.files import block_reader, list_sources
 
 
@@ -25,6 +26,42 @@ def test_the_query_leaves_its_folder_out_where_the_shared_one_has_no_scheme(spar
     assert sorted(map(tuple, got)) == [(3, 1)]
 
 
+def test_the_query_keeps_repeated_ids_and_any_sources(spark, tmp_path, monkeypatch):
+    """Of rows with one doc_id each has its file; a null source is no source, others may be named in any way."""
+    docs = [(7, "a", "en", "s2"), (7, "b", "en", "s2"), (7, "b", "en", "s2"), (-3, "", "de", "_x/../s1"), (None, "c", "en", ".y"), (8, "d", "en", None), (9, None, "en", ""), (5, "e", "de", "s1/s2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["src1_list_files"](spark, str(tmp_path)).select("doc_id", "n_bytes").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 1), (7, 1), (7, 1), (-3, 0), (None, 1), (5, 1)], key=str)
+
+
+def test_a_file_appears_whole_or_not_at_all(tmp_path):
+    with pytest.raises(KeyError), new_file(f"file://{tmp_path}/x/a.pdf") as f:
+        f.write(b"half")
+        raise KeyError
+    assert not (tmp_path / "x/a.pdf").exists()
+    with new_file(f"{tmp_path}/x/a.pdf") as f:
+        f.write(b"whole")
+    with pytest.raises(KeyError), new_file(f"{tmp_path}/x/a.pdf") as f:
+        raise KeyError
+    assert (tmp_path / "x/a.pdf").read_bytes() == b"whole"
+
+
+def test_files_without_a_byte_are_listed_too(spark, tmp_path):
+    """Spark's reader of whole files leaves them out."""
+    for name, content in (("x y/a.pdf", b""), ("x y/b.pdf", b"b"), ("c%20.PNG", b""), ("no.txt", b""), ("out/d.pdf", b"")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = list_sources(spark, [str(tmp_path)], exclude=(f"{tmp_path}/out",)).select("path", "n_bytes", "content").collect()
+    assert sorted((r.path.removeprefix(f"file:{tmp_path}/"), r.n_bytes, bytes(r.content)) for r in found) == [("c%20.PNG", 0, b""), ("x y/a.pdf", 0, b""), ("x y/b.pdf", 1, b"b")]
+
+
+def test_the_query_keeps_empty_texts(spark, tmp_path):
+    docs = [(1, "a", "en", "s1"), (2, "", "en", "s2"), (3, "b", "de", "s2"), (4, "", "fr", "s2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["src1_list_files"](spark, str(tmp_path)).select("doc_id", "n_bytes").collect()
+    assert sorted(map(tuple, got)) == [(2, 0), (3, 1)]
+
+
 def test_blocks_are_passed_on_in_small_frames():
     """Of 40 MB of blocks in one batch, no frame holds more than a part; a file that breaks off gives its cause alone."""
 
