@@ -48,6 +48,15 @@ def _store(path: str):
     return (fs.LocalFileSystem(), local) if (local := _local(path)) is not None else fs.FileSystem.from_uri(path)
 
 
+def reached(path: str) -> bool:
+    """Whether pyarrow knows the path's store; patterns, which Spark's own sources take, it doesn't."""
+    try:
+        _store(path)
+    except (ValueError, NotImplementedError, OSError):
+        return False
+    return not any(c in path for c in "*?[{\\")
+
+
 def _named(path: str) -> str:
     return path if (local := _local(path)) is None else "file://" + local
 
@@ -117,8 +126,8 @@ def _share(path: str, k: int, n: int, readers: dict[str, Reader]) -> Iterator[tu
             yield from part_rows(path, number, part, failure, readers)
 
 
-def _entries(folder: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Folders in a folder, and (path, size) of the files in it; a file has itself."""
+def _entries(folder: str) -> tuple[list[str], list[tuple[str, int, int | None]]]:
+    """Folders in a folder, and (path, size, time of its last change in ms) of the files in it; a file has itself."""
     from pyarrow import fs
 
     store, root = _store(folder)
@@ -126,7 +135,9 @@ def _entries(folder: str) -> tuple[list[str], list[tuple[str, int]]]:
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
     # what stands before a path in its store: the scheme, and the host where the store leaves it out
     before = _named(folder).removesuffix("/").removesuffix(root.removesuffix("/"))
-    return [before + x.path for x in found if x.type == fs.FileType.Directory], [(before + x.path, x.size or 0) for x in found if x.type == fs.FileType.File]
+    return [before + x.path for x in found if x.type == fs.FileType.Directory], [
+        (before + x.path, x.size or 0, None if x.mtime_ns is None else x.mtime_ns // 10**6) for x in found if x.type == fs.FileType.File
+    ]
 
 
 def _read_as(path: str, exts) -> bool:
@@ -156,7 +167,7 @@ class _BlockReader(DataSourceReader):
                 below = []
                 for own, files in pool.map(_entries, folders):
                     below += own
-                    for path, size in sorted(files):
+                    for path, size, _ in sorted(files, key=lambda x: x[0]):
                         if not _read_as(path, self.readers) or path.startswith(self.exclude):
                             continue
                         folder, _, name = path.rpartition("/")
@@ -204,7 +215,7 @@ def block_source(readers: dict[str, Reader] | None = None, name: str = "document
 
 
 def list_files(spark: SparkSession, roots: list[str], exts: tuple[str, ...], exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, n_bytes) of all files under roots (files or folders of any store that pyarrow knows)
+    """(path, n_bytes, modified_at) of all files under roots (files or folders of any store that pyarrow knows)
     with one of the extensions, without those in excluded folders and, as in Spark's own listing,
     hidden ones. Folders are listed by tasks, level by level; the driver sees counts alone."""
     left_out = tuple(_named(x).rstrip("/") + "/" for x in exclude)
@@ -217,18 +228,19 @@ def list_files(spark: SparkSession, roots: list[str], exts: tuple[str, ...], exc
         for b in batches:
             for folder in b["path"]:
                 below, files = _entries(folder)
-                found = [(x, None) for x in below if not hidden(x) and not (x + "/").startswith(left_out)]
-                found += [(x, n) for x, n in files if not hidden(x) and not x.startswith(left_out) and _read_as(x, exts)]
+                found = [(x, None, None) for x in below if not hidden(x) and not (x + "/").startswith(left_out)]
+                found += [x for x in files if not hidden(x[0]) and not x[0].startswith(left_out) and _read_as(x[0], exts)]
                 for i in range(0, len(found), 10_000):
-                    yield pd.DataFrame(found[i : i + 10_000], columns=["path", "n_bytes"]).astype({"n_bytes": "Int64"})
+                    yield pd.DataFrame(found[i : i + 10_000], columns=["path", "n_bytes", "ms"]).astype({"n_bytes": "Int64", "ms": "Int64"})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders, levels = spark.createDataFrame([(_named(x),) for x in roots], "path string"), []
     while not folders.isEmpty():
-        levels.append(written(folders.repartition(n, "path").mapInPandas(entries, "path string, n_bytes long"), "listed"))
+        levels.append(written(folders.repartition(n, "path").mapInPandas(entries, "path string, n_bytes long, ms long"), "listed"))
         folders = levels[-1].where("n_bytes IS NULL").select("path")
-    none = spark.createDataFrame([], "path string, n_bytes long")
-    return reduce(DataFrame.unionByName, levels, none).where("n_bytes IS NOT NULL")
+    none = spark.createDataFrame([], "path string, n_bytes long, ms long")
+    found = reduce(DataFrame.unionByName, levels, none).where("n_bytes IS NOT NULL")
+    return found.select("path", "n_bytes", F.timestamp_millis("ms").alias("modified_at"))
 
 
 def document_blocks(files: DataFrame, readers: dict[str, Reader] | None = None, path: str = "path", tasks: int | None = None) -> DataFrame:

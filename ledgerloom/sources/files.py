@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import list_files, opened, reached
 from .store import small_batches
 
 #: Kinds of files that are input.
@@ -43,9 +44,35 @@ def _empty_ones(files: DataFrame) -> DataFrame:
     return rows.select("path", F.lit(None).cast("timestamp").alias("modified_at"), F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("content"))
 
 
+def _with_content(files: DataFrame) -> DataFrame:
+    """files (path, modified_at, n_bytes) with what is in each, read by tasks file after file."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held, size, since = [], 0, 0
+            for i, path in enumerate(b["path"]):
+                with opened(path) as (f, _):
+                    held.append(f.read())
+                size += len(held[-1])
+                if i + 1 == len(b) or size > _HELD:
+                    yield b.iloc[since : i + 1].assign(content=held, n_bytes=[len(x) for x in held])
+                    held, size, since = [], 0, i + 1
+
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.dropDuplicates(["path"]).select("path", "modified_at", "n_bytes").repartition(n, "path")
+    # a local path as Spark's listing writes it
+    return rows.mapInPandas(read, "path string, modified_at timestamp, n_bytes long, content binary").withColumn("path", F.regexp_replace("path", "^file:///", "file:/"))
+
+
 def list_sources(spark: SparkSession, roots: list[str], exts: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, modified_at, n_bytes, content) of all input files under roots, without those in the
-    excluded folders, which may be written as roots may: with a scheme or without."""
+    excluded folders, which may be written as roots may: with a scheme or without.
+
+    Folders are listed and files read by tasks, and the driver knows of none, where pyarrow knows the
+    store. Spark's own listing, which the driver holds, takes other stores and roots with patterns."""
+    whole = [_listed_as(spark, x) for x in roots]
+    if all(reached(x) for x in whole):
+        return _with_content(list_files(spark, whole, exts, tuple(_listed_as(spark, x) for x in exclude)))
     # by the listing, so that no other file is opened
     glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in exts) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)

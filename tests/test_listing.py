@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from ledgerloom.jobs import queries
+from ledgerloom.sources import files
 from ledgerloom.sources.blocks import new_file
 from ledgerloom.sources.files import block_reader, list_sources
 
@@ -46,8 +47,11 @@ def test_a_file_appears_whole_or_not_at_all(tmp_path):
     assert (tmp_path / "x/a.pdf").read_bytes() == b"whole"
 
 
-def test_files_without_a_byte_are_listed_too(spark, tmp_path):
+@pytest.mark.parametrize("by_tasks", [True, False])
+def test_files_without_a_byte_are_listed_too(spark, tmp_path, monkeypatch, by_tasks):
     """Spark's reader of whole files leaves them out."""
+    if not by_tasks:
+        monkeypatch.setattr(files, "reached", lambda path: False)
     for name, content in (("x y/a.pdf", b""), ("x y/b.pdf", b"b"), ("c%20.PNG", b""), ("no.txt", b""), ("out/d.pdf", b"")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
@@ -62,6 +66,24 @@ def test_the_query_keeps_empty_texts(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(2, 0), (3, 1)]
 
 
+def test_the_driver_holds_no_list_of_files(spark, tmp_path):
+    """No file stands in the plan; what is listed and read equals Spark's own listing."""
+    for i in range(1, 40):
+        at = tmp_path / f"in/{i % 3}/x y/{i}.{['pdf', 'PNG', 'txt', 'docx'][i % 4]}"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"%d" % i * i)
+    (tmp_path / "in/_hidden").mkdir()
+    (tmp_path / "in/_hidden/a.pdf").write_bytes(b"x")
+    columns = ("path", "modified_at", "n_bytes", "content")
+    found = list_sources(spark, [f"{tmp_path}/in", f"file:{tmp_path}/in/1"], exclude=(f"{tmp_path}/in/2",)).select(*columns)
+    assert not any("/in/" in x for x in found.inputFiles())
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/in").where("lower(path) NOT LIKE '%.txt' AND path NOT LIKE '%/in/2/%'")
+    own = own.selectExpr("path", "modificationTime", "length", "content").collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, own)) and len(own) > 15
+    # a root with a pattern is Spark's to list
+    assert list_sources(spark, [f"{tmp_path}/in/[01]"]).select(*columns).count() == len(own)
+
+
 def test_blocks_are_passed_on_in_small_frames():
     """Of 40 MB of blocks in one batch, no frame holds more than a part; a file that breaks off gives its cause alone."""
 
